@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame, keep: str = "min", normalise=lower_ascii) -> D
 def drop_exact(docs: DataFrame, keep: str = "min") -> DataFrame:
     """docs without the rows that exact_groups() drops; every column as it came."""
     ids = exact_groups(docs, keep).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 ORACLE = """
