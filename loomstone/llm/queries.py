@@ -1,20 +1,49 @@
-"""The opN queries and their SQL, one module for each operator."""
+"""The opN queries and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import exact_dedup
+from loomstone.llm import exact_dedup, nbsvm, ngram_join, packing, pieces
 from loomstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES: dict[str, Query] = {"op4_exact_dedup": op4_exact_dedup}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digests(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op2_ngram_join": op2_ngram_join,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op9_quality": op9_quality,
+    "op10_pieces": op10_pieces,
+}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
