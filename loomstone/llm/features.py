@@ -7,7 +7,9 @@ import pyarrow as pa
 
 from loomstone.llm import textvec
 
-_SALT = {name: np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k, name in enumerate(("word", "pair", "twice", "head", "tail"), 1)}
+
+def _salt(kind: str, n: int = 1) -> np.uint64:
+    return np.uint64((("word", "pair", "again", "head", "tail").index(kind) + 1) * (n + 1) * 0x9E3779B97F4A7C15 % 2**64)
 
 
 def _edge(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, tail: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -19,28 +21,57 @@ def _edge(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, tail:
     return textvec.span_hashes(data, s, s + n), long
 
 
-def indicators(column: pa.Array, bits: int, heads: tuple[int, ...] = (), tails: tuple[int, ...] = (), pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every n-gram that occurs: words, pairs of words, a word said twice, and the
-    first or last bytes of words. Each feature once a row, rows ascending, features in 0..2**bits-1."""
+def _runs(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that are one word n times, in one row."""
+    count = len(hashes) - n + 1
+    if count <= 0:
+        return hashes[:0], row[:0]
+    changes = np.concatenate([[0], np.cumsum((hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))])
+    same = changes[n - 1 :] == changes[:count]
+    return hashes[:count][same], row[:count][same]
+
+
+def ngrams(column: pa.Array, bits: int, heads: tuple[int, ...] = (), tails: tuple[int, ...] = (), pairs: bool = True, wanted: np.ndarray | None = None) -> np.ndarray:
+    """row << bits | feature of every n-gram, in no order: words, pairs of words, n-grams of one word over
+    and over (whatever the word), and the first or last bytes of words. wanted: a mask of features."""
     data, offsets = textvec.column_bytes(column)
     starts, ends, row = textvec.words(data, offsets)
     hashes = textvec.span_hashes(data, starts, ends)
-    found = [(hashes + _SALT["word"], row)]
+    found = []
+
+    def add(values: np.ndarray, rows: np.ndarray, salt: np.uint64) -> None:
+        feature = textvec.mix(values + salt) >> np.uint64(64 - bits)
+        if wanted is not None:
+            ok = wanted[feature.astype(np.int64)]
+            feature, rows = feature[ok], rows[ok]
+        found.append(rows.astype(np.uint64) << np.uint64(bits) | feature)
+
+    add(hashes, row, _salt("word"))
     if pairs:
         two, two_row = textvec.grams(hashes, row, 2)
-        found.append((two + _SALT["pair"], two_row))
-        if len(hashes) > 1:
-            again = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-            found.append((np.full(int(again.sum()), _SALT["twice"]), row[1:][again]))
+        add(two, two_row, _salt("pair"))
+        for n in (2, 3, 4, 8, 16):
+            run, run_row = _runs(hashes, row, n)
+            add(np.zeros(len(run), dtype=np.uint64), run_row, _salt("again", n))
     for sizes, tail in ((heads, False), (tails, True)):
         for n in sizes:
             h, which = _edge(data, starts, ends, n, tail)
-            found.append((h + _SALT["tail" if tail else "head"] * np.uint64(n), row[which]))
-    feature = textvec.mix(np.concatenate([f for f, _ in found])) >> np.uint64(64 - bits)
-    key = np.unique(np.concatenate([r for _, r in found]).astype(np.uint64) << np.uint64(bits) | feature)
+            add(h, row[which], _salt("tail" if tail else "head", n))
+    return np.concatenate(found)
+
+
+def indicators(column: pa.Array, bits: int, **kinds) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature), each once, ascending."""
+    key = np.unique(ngrams(column, bits, **kinds))
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64)
 
 
+def counted(column: pa.Array, bits: int, **kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count), ascending."""
+    key, count = np.unique(ngrams(column, bits, **kinds), return_counts=True)
+    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64), count
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

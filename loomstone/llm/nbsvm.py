@@ -25,6 +25,7 @@ from loomstone.llm.features import calibration, indicators, labelled_rows, logis
 BITS = 18
 PER_CLASS = 3000
 TAILS = (1, 3)
+LEAST_SEEN = 5  # rows of the sample that hold a feature, for it to count
 
 
 @dataclass
@@ -41,7 +42,7 @@ class Model:
         return total / np.maximum(norm, 1e-12) + self.bias
 
     def score(self, column: pa.Array) -> np.ndarray:
-        return logistic(self.a * self.margin(*indicators(column, BITS, tails=TAILS), len(column)) + self.b)
+        return logistic(self.a * self.margin(*indicators(column, BITS, tails=TAILS, wanted=self.square > 0), len(column)) + self.b)
 
 
 def descend(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, c: np.ndarray, epochs: int = 12, seed: int = 7) -> np.ndarray:
@@ -86,7 +87,7 @@ def fit(rows: list[tuple[np.ndarray, int, float]], dim: int = 1 << BITS, smooth:
             counts[label, f] += 1
     n = np.array([(y[~held] == k).sum() for k in (0, 1)])
     ratio = np.log((counts[1] / (n[1] + 2 * smooth)) / (counts[0] / (n[0] + 2 * smooth)))
-    ratio[counts.sum(0) <= 2 * smooth] = 0  # never seen in the sample
+    ratio[counts.sum(0) < 2 * smooth + LEAST_SEEN] = 0
     model = Model(np.zeros(dim), ratio**2, 0.0, 1.0, 0.0)
     x = []
     for f, _, _ in rows:

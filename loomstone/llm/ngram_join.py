@@ -5,7 +5,9 @@
    global order (sketched count, then hash: rare shingles first) two sets with Jaccard >= t share one
    of the first n - ceil(t n) + 1 shingles. The order decides speed only, so the sketch need not be exact.
 3. Documents with equal sets become one class. Classes that share a prefix shingle form candidate
-   groups; each shingle's list is linked as a star, so no pairs of a list are emitted.
+   groups; each shingle's list is linked as a star, so no pairs of a list are emitted, and each batch of
+   documents sends one posting of a shingle at most. (A 64-bit class hash serves here: a collision could
+   only join two candidate groups.)
 4. In each candidate group, T-occurrence searches over the inverted lists of whole sets. A search for x
    returns all sets with Jaccard >= t and those in a wider ring. Jaccard distance is a metric, so what
    lies outside the ring can't link to a set near x, and sets near x are in x's component at once:
@@ -56,6 +58,10 @@ def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
+def set_key(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=16).digest()
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -71,7 +77,7 @@ def sketch(docs: DataFrame, width: int = 5) -> np.ndarray:
                 add = np.bincount(_bucket(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
                 total = add if total is None else total + add
         if total is not None:
-            parts = [p.astype("<i8").tobytes() for p in total.reshape(-1, CHUNK)]
+            parts = [p.astype("<i8").tobytes() for p in total.reshape(-1, CHUNK)]  # mostly small numbers: they compress
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
     def add(batches):
@@ -97,7 +103,7 @@ def overlap(n: int, m: int, num: int, den: int) -> int:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, num: int, den: int, width: int = 5) -> DataFrame:
-    """doc_id, n, key (of the set), prefix: the first n - ceil(t n) + 1 shingles in the global order."""
+    """doc_id, n, key (of the set), its class hash, prefix: the first n - ceil(t n) + 1 shingles in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def make():
@@ -107,7 +113,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, num: int, den: int, width: i
             sets = shingle_sets(batch.column(1), width)
             keys, prefixes = [], []
             for s in sets:
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(set_key(s))
                 if len(s):
                     order = np.lexsort((s, known[_bucket(s)]))
                     prefixes.append(s[order[: len(s) - -(-num * len(s) // den) + 1]].view(np.int64))
@@ -116,11 +122,12 @@ def signatures(docs: DataFrame, counts: np.ndarray, num: int, den: int, width: i
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(keys, pa.binary()), lists], ["doc_id", "n", "key", "prefix"])
+            classes = pa.array(np.frombuffer(b"".join(k[:8] for k in keys), dtype="<i8"))
+            return pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(keys, pa.binary()), classes, lists], ["doc_id", "n", "key", "class", "prefix"])
 
         return step
 
-    return map_batches(docs, make, "doc_id long, n long, key binary, prefix array<long>")
+    return map_batches(docs, make, "doc_id long, n long, key binary, class long, prefix array<long>")
 
 
 class Lists:
@@ -217,32 +224,97 @@ def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None
     return [root(i) for i in range(len(sets))]
 
 
-def _search_groups(members: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links (u, v) as stars, from rows (keys..., rep, tokens binary, held long: a known component or null)."""
+def star_links(signed: DataFrame) -> DataFrame:
+    """Links (u, v) of class hashes that share a prefix shingle: each shingle's list as a star."""
+
+    def spread(batches):
+        for batch in batches:
+            n = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            tokens = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            who = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
+            order = np.lexsort((who, tokens))
+            yield _stars(tokens[order], who[order], forward=True)
+
+    def gather(batches):
+        last = None  # the token and class at a batch's end, whose list may go on
+        for batch in batches:
+            tokens, u, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            link = u != v
+            out = [(u[link], v[link])]
+            tokens, who = tokens[~link], u[~link]
+            if len(tokens):
+                if last is not None:
+                    tokens, who = np.concatenate([[last[0]], tokens]), np.concatenate([[last[1]], who])
+                made = _stars(tokens, who, forward=False)
+                out.append((made.column(1).to_numpy(), made.column(2).to_numpy()))
+                head = np.searchsorted(tokens, tokens[-1])
+                last = (tokens[-1], who[head])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in (0, 1)], ["u", "v"])
+
+    kind = "token long, u long, v long"
+    sent = signed.filter("n > 0").select("class", "n", "prefix").mapInArrow(spread, kind)
+    return sent.repartition("token").sortWithinPartitions("token", "u").mapInArrow(gather, "u long, v long").distinct()
+
+
+def _stars(tokens: np.ndarray, who: np.ndarray, forward: bool) -> pa.RecordBatch:
+    """From postings by ascending token: links of each list's members to its first; with `forward` also
+    one posting (token, class, class) of each list. Links are dealt by their class."""
+    first = np.ones(len(tokens), dtype=bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    lead = who[np.maximum.accumulate(np.where(first, np.arange(len(tokens)), 0))]
+    other = lead != who
+    links = np.unique(np.stack([who[other], lead[other]]), axis=1) if other.any() else np.zeros((2, 0), dtype=np.int64)
+    key, u, v = links[0], links[0], links[1]
+    if forward:
+        key, u, v = np.concatenate([tokens[first], key]), np.concatenate([who[first], u]), np.concatenate([who[first], v])
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (key, u, v)], ["token", "u", "v"])
+
+
+def _link_table(reps: list[int], found: list[int]) -> pa.Table:
+    pairs = [(reps[i], reps[r]) for i, r in enumerate(found) if i != r]
+    return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _search_texts(members: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """Links (u, v) as stars, from rows (grp, rep, key, text)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
+        sets = shingle_sets(table.column("text").combine_chunks(), width)
+        mine = [i for i, k in enumerate(table.column("key").to_pylist()) if set_key(sets[i]) == k]
         reps = table.column("rep").to_pylist()
+        return _link_table([reps[i] for i in mine], linked([sets[i] for i in mine], num, den))
+
+    return members.select("grp", "rep", "key", "text").groupBy("grp").applyInArrow(run, "u long, v long")
+
+
+def _search_sets(members: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Links (u, v) as stars, from rows (keys..., rep, tokens binary, held long: a known component or null)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
         sets = [np.frombuffer(b, dtype="<u8") for b in table.column("tokens").to_pylist()]
         held = np.array([-1 if h is None else h for h in table.column("held").to_pylist()], dtype=np.int64)
-        found = linked(sets, num, den, held)
-        pairs = [(reps[i], reps[r]) for i, r in enumerate(found) if i != r]
-        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+        return _link_table(table.column("rep").to_pylist(), linked(sets, num, den, held))
 
     return members.groupBy(*keys).applyInArrow(run, "u long, v long")
 
 
-def _sets_of(rows: DataFrame, width: int) -> DataFrame:
-    """(grp, rep, tokens) from (grp, rep, text)."""
+def _sets_of(members: DataFrame, width: int) -> DataFrame:
+    """(grp, rep, n, held, tokens) from (grp, rep, key, text)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(batch.column(2), width)
-            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["grp", "rep", "tokens"])
+            sets = shingle_sets(batch.column(3), width)
+            mine = [i for i, k in enumerate(batch.column(2).to_pylist()) if set_key(sets[i]) == k]
+            kept = batch.take(pa.array(mine, pa.int64()))
+            tokens = [sets[i] for i in mine]
+            columns = [*kept.columns[:2], pa.array([len(t) for t in tokens], pa.int64()), pa.nulls(len(mine), pa.int64()), pa.array([t.astype("<u8").tobytes() for t in tokens], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["grp", "rep", "n", "held", "tokens"])
 
         return step
 
-    return map_batches(rows.select("grp", "rep", "text"), make, "grp long, rep long, tokens binary")
+    return map_batches(members.select("grp", "rep", "key", "text"), make, "grp long, rep long, n long, held long, tokens binary")
 
 
 def _meet_leaders(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -278,40 +350,40 @@ def _meet_leaders(members: DataFrame, num: int, den: int) -> tuple[DataFrame, Da
     return links, written(left.select("grp", "rep", "n", held.alias("held"), "tokens"), "left")
 
 
-def links_in_groups(members: DataFrame, num: int, den: int, group_shingles: int, rounds: int = 3) -> DataFrame:
-    """Links (u, v) of members (grp, rep, n, tokens) whose components are those of all links in a group."""
-    sizes = members.groupBy("grp").agg(F.sum("n").alias("total"))
-    members = written(members.join(sizes, "grp").withColumn("held", F.lit(None).cast("long")), "members")
-    links = _search_groups(members.filter(F.col("total") <= group_shingles), ["grp"], num, den)
-    large = members.filter(F.col("total") > group_shingles).drop("total")
+def links_in_large(members: DataFrame, num: int, den: int, group_shingles: int, rounds: int = 3) -> DataFrame:
+    """Links (u, v) of members (grp, rep, n, held, tokens): leaders first, then pairs of blocks."""
+    large, links = written(members, "members"), []
     for _ in range(rounds):
-        if large.isEmpty():
-            return links
         more, large = _meet_leaders(large, num, den)
-        links = links.unionByName(more)
+        links.append(more)
+        if large.isEmpty():
+            break
     sizes = large.groupBy("grp").agg(F.sum("n").alias("total"))
     blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / group_shingles)).cast("int")
     dealt = large.join(sizes, "grp").withColumn("blocks", blocks)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    return links.unionByName(_search_groups(dealt.drop("total", "blocks", "own", "other"), ["grp", "a", "b"], num, den))
+    out = _search_sets(dealt.drop("total", "blocks", "own", "other"), ["grp", "a", "b"], num, den)
+    for more in links:
+        out = out.unionByName(more)
+    return out
 
 
 def near_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, group_shingles: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links of Jaccard >= num / den)."""
     docs = docs_of(docs).filter("doc_id IS NOT NULL")
     signed = written(signatures(docs, sketch(docs, width), num, den, width), "signed")
-    full = signed.filter("n > 0")
-    classes = full.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = full.select("key", F.col("doc_id").alias("rep"), "prefix").join(classes, ["key", "rep"]).dropDuplicates(["key", "rep"])
-    posted = reps.select("rep", F.explode("prefix").alias("token"))
-    lead = posted.groupBy("token").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    stars = posted.join(lead, "token").select(F.col("rep").alias("u"), "v").filter("u <> v").distinct()
-    groups = written(components(stars), "groups").select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    texts = docs.join(groups, docs["doc_id"] == groups["rep"]).select("grp", "rep", "text")
-    sets = _sets_of(texts, width).withColumn("n", (F.length("tokens") / 8).cast("long")).filter("n > 0")
-    links = links_in_groups(sets, num, den, group_shingles)
+    classes = signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("class").alias("class"), F.first("n").alias("n"))
+    groups = components(star_links(signed)).select(F.col("node").alias("class"), F.col("component").alias("grp"))
+    members = written(classes.join(groups, "class").select("key", "rep", "n", "grp"), "groups")
+    totals = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    totals = written(totals.select("grp", "total"), "totals")
+    wanted = members.join(totals, "grp").select("key", "rep", "grp", "total")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("grp", "rep", "key", "text", "total")
+    links = _search_texts(texts.filter(F.col("total") <= group_shingles), num, den, width)
+    if not totals.filter(F.col("total") > group_shingles).isEmpty():
+        links = links.unionByName(links_in_large(_sets_of(texts.filter(F.col("total") > group_shingles), width), num, den, group_shingles))
     found = components(links).withColumnRenamed("node", "rep")
     named = classes.join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc_id", "n", "key").join(named, "key", "left")
