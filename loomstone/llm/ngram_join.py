@@ -4,10 +4,10 @@
 2. `signatures`: per document the size of its set, a 128-bit key of the set, and its prefix: under one
    global order (sketched count, then hash: rare shingles first) two sets with Jaccard >= t share one
    of the first n - ceil(t n) + 1 shingles. The order decides speed only, so the sketch need not be exact.
-3. Documents with equal sets become one class. Classes that share a prefix shingle form candidate
-   groups; each shingle's list is linked as a star, so no pairs of a list are emitted, and each batch of
-   documents sends one posting of a shingle at most. (A 64-bit class hash serves here: a collision could
-   only join two candidate groups.)
+3. Documents with equal sets become one class. Classes that share a prefix shingle, and whose sizes and
+   positions of it allow enough overlap, form candidate groups. Long lists are linked as stars, at once
+   where a batch of documents holds one, so no list's pairs are emitted beyond SHORT for each posting.
+   (A 64-bit class hash serves here: a collision could only join two candidate groups.)
 4. In each candidate group, T-occurrence searches over the inverted lists of whole sets. A search for x
    returns all sets with Jaccard >= t and those in a wider ring. Jaccard distance is a metric, so what
    lies outside the ring can't link to a set near x, and sets near x are in x's component at once:
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -37,8 +38,10 @@ from loomstone.llm import textvec
 from loomstone.llm.common import docs_of, map_batches, written
 from loomstone.llm.components import components
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 CHUNK = 1 << 14
+SHORT = 32  # longest list whose pairs are looked at one by one
+HOT, LINK = -2, -1
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
@@ -77,22 +80,22 @@ def sketch(docs: DataFrame, width: int = 5) -> np.ndarray:
                 add = np.bincount(_bucket(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
                 total = add if total is None else total + add
         if total is not None:
-            parts = [p.astype("<i8").tobytes() for p in total.reshape(-1, CHUNK)]  # mostly small numbers: they compress
+            parts = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in total.reshape(-1, CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(b, dtype="<i8")
+                got = np.frombuffer(zlib.decompress(b), dtype="<i8")
                 totals[k] = totals[k] + got if k in totals else got
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["chunk", "counts"])
 
     chunks = (1 << SKETCH_BITS) // CHUNK
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary")
+    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros((chunks, CHUNK), dtype=np.int64)
-    for r in parts.collect():  # 64 rows of 128 KB
+    for r in parts.collect():  # 256 rows of 128 KB
         out[r["chunk"]] += np.frombuffer(r["counts"], dtype="<i8")
     return out.ravel()
 
@@ -224,50 +227,82 @@ def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None
     return [root(i) for i in range(len(sets))]
 
 
-def star_links(signed: DataFrame) -> DataFrame:
-    """Links (u, v) of class hashes that share a prefix shingle: each shingle's list as a star."""
+def _list_links(token: np.ndarray, cls: np.ndarray, meta: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of postings by ascending token. meta: size << 32 | position in the prefix, or HOT.
+
+    A list of at most SHORT postings gives its pairs whose sizes and positions allow enough overlap; a
+    longer one, or one that holds a HOT posting, is linked as a star to its first member.
+    """
+    first = np.ones(len(token), dtype=bool)
+    first[1:] = token[1:] != token[:-1]
+    start = np.flatnonzero(first)
+    length = np.diff(np.append(start, len(token)))
+    long = (length > SHORT) | (np.minimum.reduceat(meta, start) < 0) if len(start) else np.zeros(0, dtype=bool)
+    which = np.repeat(np.arange(len(start)), length)
+    star = long[which]
+    us, vs = [cls[star]], [cls[start[which[star]]]]
+    rest = ~star & (length > 1)[which]
+    cls, which, n, at = cls[rest], which[rest], meta[rest] >> 32, meta[rest] & 0xFFFFFFFF
+    for k in range(1, min(SHORT, len(cls))):
+        same = np.flatnonzero(which[k:] == which[:-k])
+        if not len(same):
+            break
+        a, b = same, same + k
+        least = -(-num * (n[a] + n[b]) // (num + den))
+        ok = (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1 >= least)
+        us.append(cls[a[ok]])
+        vs.append(cls[b[ok]])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return u[u != v], v[u != v]
+
+
+def candidate_links(signed: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) of class hashes: any two classes that can reach num / den are in one component."""
+    names, kind = ["token", "u", "v", "meta"], "token long, u long, v long, meta long"
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names[: len(columns)] if len(columns) > 2 else ["u", "v"])
 
     def spread(batches):
         for batch in batches:
-            n = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            tokens = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            who = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
-            order = np.lexsort((who, tokens))
-            yield _stars(tokens[order], who[order], forward=True)
+            n = batch.column(1).to_numpy()
+            ends = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            token = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), ends)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(ends) - ends, ends)
+            order = np.argsort(token, kind="stable")
+            token, cls, meta = token[order], batch.column(0).to_numpy()[row][order], (n[row] << 32 | at)[order]
+            start = np.flatnonzero(np.append([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, dtype=np.int64)
+            length = np.diff(np.append(start, len(token)))
+            hot = length > SHORT
+            mine = np.repeat(hot, length)
+            u, v = cls[mine], np.repeat(cls[start[hot]], length[hot])
+            if len(u):
+                u, v = np.unique(np.stack([u, v])[:, u != v], axis=1)
+            lead = start[hot]
+            yield rows(
+                np.concatenate([token[~mine], token[lead], u]), np.concatenate([cls[~mine], cls[lead], u]),
+                np.concatenate([np.zeros((~mine).sum() + len(lead)), v]), np.concatenate([meta[~mine], np.full(len(lead), HOT), np.full(len(u), LINK)]),
+            )
 
     def gather(batches):
-        last = None  # the token and class at a batch's end, whose list may go on
+        held = [np.zeros(0, dtype=np.int64)] * 3  # the last token's postings, whose list may go on
         for batch in batches:
-            tokens, u, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            link = u != v
-            out = [(u[link], v[link])]
-            tokens, who = tokens[~link], u[~link]
-            if len(tokens):
-                if last is not None:
-                    tokens, who = np.concatenate([[last[0]], tokens]), np.concatenate([[last[1]], who])
-                made = _stars(tokens, who, forward=False)
-                out.append((made.column(1).to_numpy(), made.column(2).to_numpy()))
-                head = np.searchsorted(tokens, tokens[-1])
-                last = (tokens[-1], who[head])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in (0, 1)], ["u", "v"])
-
-    kind = "token long, u long, v long"
-    sent = signed.filter("n > 0").select("class", "n", "prefix").mapInArrow(spread, kind)
-    return sent.repartition("token").sortWithinPartitions("token", "u").mapInArrow(gather, "u long, v long").distinct()
+            token, u, v, meta = (c.to_numpy() for c in batch.columns)
+            link = meta == LINK
+            yield rows(u[link], v[link])
+            token, cls, meta = (np.concatenate([h, x[~link]]) for h, x in zip(held, (token, u, meta), strict=True))
+            if len(token):
+                cut = np.searchsorted(token, token[-1])
+                yield rows(*_list_links(token[:cut], cls[:cut], meta[:cut], num, den))
+                held = [token[cut:], cls[cut:], meta[cut:]]
+                if len(held[0]) > 4 * SHORT:
+                    yield rows(*_list_links(*held, num, den))
+                    held = [held[0][:1], held[1][:1], np.array([HOT])]
+        yield rows(*_list_links(*held, num, den))
 
-
-def _stars(tokens: np.ndarray, who: np.ndarray, forward: bool) -> pa.RecordBatch:
-    """From postings by ascending token: links of each list's members to its first; with `forward` also
-    one posting (token, class, class) of each list. Links are dealt by their class."""
-    first = np.ones(len(tokens), dtype=bool)
-    first[1:] = tokens[1:] != tokens[:-1]
-    lead = who[np.maximum.accumulate(np.where(first, np.arange(len(tokens)), 0))]
-    other = lead != who
-    links = np.unique(np.stack([who[other], lead[other]]), axis=1) if other.any() else np.zeros((2, 0), dtype=np.int64)
-    key, u, v = links[0], links[0], links[1]
-    if forward:
-        key, u, v = np.concatenate([tokens[first], key]), np.concatenate([who[first], u]), np.concatenate([who[first], v])
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (key, u, v)], ["token", "u", "v"])
+    sent = signed.filter("n > 0").select("class", "n", "prefix").mapInArrow(spread, kind)
+    return sent.repartition("token").sortWithinPartitions("token", "meta", "u").mapInArrow(gather, "u long, v long").distinct()
 
 
 def _link_table(reps: list[int], found: list[int]) -> pa.Table:
@@ -375,7 +410,7 @@ def near_components(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     docs = docs_of(docs).filter("doc_id IS NOT NULL")
     signed = written(signatures(docs, sketch(docs, width), num, den, width), "signed")
     classes = signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("class").alias("class"), F.first("n").alias("n"))
-    groups = components(star_links(signed)).select(F.col("node").alias("class"), F.col("component").alias("grp"))
+    groups = components(candidate_links(signed, num, den)).select(F.col("node").alias("class"), F.col("component").alias("grp"))
     members = written(classes.join(groups, "class").select("key", "rep", "n", "grp"), "groups")
     totals = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     totals = written(totals.select("grp", "total"), "totals")

@@ -106,8 +106,8 @@ def grams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 def whole(hashes: np.ndarray) -> np.uint64:
     """One hash of a short sequence of words, in the domain of `grams`."""
     total = np.full(1, np.uint64(len(hashes)), dtype=np.uint64)
-    for k, h in enumerate(hashes):
-        total += h * _MULTS[k]
+    for k in range(len(hashes)):
+        total += hashes[k : k + 1] * _MULTS[k]
     return mix(total)[0]
 
 

@@ -86,3 +86,20 @@ def test_empty_table(spark):
 def test_drop_near_keeps_other_columns(spark):
     df = spark.createDataFrame([(5, "a b c d e f", 1), (2, "a b c d e f", 2), (9, "", 3)], "doc_id long, text string, token int")
     assert sorted(map(tuple, ngram_join.drop_near(df).collect())) == [(2, "a b c d e f", 2), (9, "", 3)]
+
+
+def test_long_lists_and_many_copies(spark):
+    r = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[int(r.integers(80))] = f"x{i}"
+        if i % 3 == 0:
+            w[int(r.integers(80))] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    for group_shingles in (4_000_000, 3000):
+        assert sorted(map(tuple, ngram_join.near_components(df, group_shingles=group_shingles).collect())) == want
