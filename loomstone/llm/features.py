@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomstone.llm import textvec
 
@@ -93,19 +95,17 @@ def calibration(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tu
     return float(a), float(b)
 
 
-def labelled_rows(docs, labels, label: str, per_class: int):
-    """(doc_id, text, y, weight): at most per_class rows of each class, by hash order of doc_id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, y, weight): at most most[y] rows of each class y, by hash order of doc_id.
 
     weight restores the classes' shares among all labelled rows. Null labels and labels without a
     document are left out; a doc_id labelled several times counts once, with its largest label.
     """
-    from pyspark.sql import functions as F
-
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picks = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    picked = picks[0].unionByName(picks[1])
-    weight = F.when(F.col("y") == 1, shares.get(1, 0) / max(1, min(per_class, shares.get(1, 0)))).otherwise(shares.get(0, 0) / max(1, min(per_class, shares.get(0, 0))))
-    # at most 2 * per_class ids, whatever the size of the corpus
-    return docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", weight.alias("weight"))
+    picks = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y]) for y in (0, 1)]
+    weight = [shares.get(y, 0) / max(1, min(most[y], shares.get(y, 0))) for y in (0, 1)]
+    # at most sum(most) ids, whatever the size of the corpus
+    picked = F.broadcast(picks[0].unionByName(picks[1]))
+    return docs.join(picked, "doc_id").select("doc_id", "text", "y", F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))

@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
         return step
 
-    rows = labelled_rows(docs_of(docs), labels, label, per_class).select("doc_id", "text", "y", F.col("weight").cast("double").alias("weight"))
+    rows = labelled_rows(docs_of(docs), labels, label, (per_class, per_class)).select("doc_id", "text", "y", F.col("weight").cast("double").alias("weight"))
     got = map_batches(rows, make, "doc_id long, y int, weight double, f binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["f"]))
     return fit([(np.frombuffer(r["f"], dtype="<u4").astype(np.int64), r["y"], r["weight"]) for r in got])

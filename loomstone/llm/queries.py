@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import exact_dedup, nbsvm, ngram_join, packing, pieces
+from loomstone.llm import chat, exact_dedup, nbsvm, ngram_join, packing, pieces, pii, toxicity, vector_dedup
 from loomstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,14 +22,30 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op8_digests(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,11 +55,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_packing": op1_packing,
-    "op2_ngram_join": op2_ngram_join,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op7_token_counts": op7_token_counts,
-    "op9_quality": op9_quality,
-    "op10_pieces": op10_pieces,
+    f.__name__: f
+    for f in (op1_packing, op2_ngram_join, op3_toxicity, op4_exact_dedup, op5_vector_dedup, op6_pii, op7_token_counts, op8_chat, op9_quality, op10_pieces)
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op8_chat": chat.ORACLE}
