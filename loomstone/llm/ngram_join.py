@@ -155,13 +155,17 @@ class Lists:
         n = int(self.sizes[x])
         least = max(1, -(-num * n // den))
         at = np.searchsorted(self.tokens, self.sets[x])
-        lists = sorted((self.who[self.first[k] : self.first[k + 1]].tolist() for k in at.tolist()), key=len)
-        longest = len(lists[-1])
-        aside = min(least - 1, int(least / (0.0085 * math.log2(longest + 1) + 1)))
+        length = self.first[at + 1] - self.first[at]
+        at = at[np.argsort(length, kind="stable")]
+        aside = min(least - 1, int(least / (0.0085 * math.log2(int(length.max()) + 1) + 1)))
+        lists = [self.who[self.first[k] : self.first[k + 1]] for k in at.tolist()]
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        if len(self.sets) > 48:
+            return self._search_arrays(x, num, den, least - aside, short, long)
         found: dict[int, int] = {}
         last, seen = -1, 0
-        for i in [*heapq.merge(*short), -1]:
+        long = [one.tolist() for one in long]
+        for i in [*heapq.merge(*(one.tolist() for one in short)), -1]:
             if i == last:
                 seen += 1
                 continue
@@ -178,6 +182,26 @@ class Lists:
             last, seen = i, 1
         return found
 
+    def _search_arrays(self, x: int, num: int, den: int, least: int, short: list[np.ndarray], long: list[np.ndarray]) -> dict[int, int]:
+        """The same search with arrays: a stable sort merges the short lists' runs, all candidates are
+        probed in a long list at once, and those that can't reach their overlap any more are let go."""
+        merged = np.sort(np.concatenate(short), kind="stable")
+        start = np.flatnonzero(np.append([True], merged[1:] != merged[:-1]))
+        seen = np.diff(np.append(start, len(merged)))
+        some = seen >= least
+        ids, total = merged[start[some]], seen[some]
+        need = -(-num * (self.sizes[ids] + self.sizes[x]) // (num + den))
+        for k, one in enumerate(long):
+            if k % 16 == 0:
+                able = total + len(long) - k >= need
+                ids, total, need = ids[able], total[able], need[able]
+                if not len(ids):
+                    return {}
+            p = np.searchsorted(one, ids)
+            total = total + (one[np.minimum(p, len(one) - 1)] == ids)
+        enough = total >= need
+        return dict(zip(ids[enough].tolist(), total[enough].tolist(), strict=True))
+
 
 def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None = None) -> list[int]:
     """The component of each set, as the least position in it, by T-occurrence searches.
@@ -205,13 +229,14 @@ def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None
     reach = den - num  # distance of a link, in parts of den
     ring = (max(0, den - 2 * reach), den) if 2 * reach < den else (1, 10**9)
     done: set[int] = set()  # sets whose links all lie in their component already
+    idle = 0  # wider searches in a row that settled few other sets
     for x in range(len(sets)):
         if x in done:
             continue
+        wide = idle < 3
         near: list[tuple[int, int, int]] = []
-        far_least: tuple[int, int] | None = None  # the least distance of a set in the ring, as a fraction
-        got = lists.search(x, *ring)
-        for y, both in got.items():
+        far_least: tuple[int, int] | None = None  # the least distance of an open set in the ring, as a fraction
+        for y, both in lists.search(x, *(ring if wide else (num, den))).items():
             union = int(lists.sizes[x] + lists.sizes[y]) - both
             if den * both >= num * union:
                 near.append((y, union - both, union))
@@ -220,10 +245,13 @@ def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None
             elif y not in done and (far_least is None or (union - both) * far_least[1] < far_least[0] * union):
                 far_least = (union - both, union)
         done.add(x)
-        for y, differ, union in near:
-            # d(y, z) >= d(x, z) - d(x, y): z of the ring can link to y only if that is within reach
-            if far_least is None or far_least[0] * union * den - differ * far_least[1] * den > reach * far_least[1] * union:
-                done.add(y)
+        if wide:
+            before = len(done)
+            for y, differ, union in near:
+                # d(y, z) >= d(x, z) - d(x, y): z of the ring can link to y only if that is within reach
+                if far_least is None or far_least[0] * union * den - differ * far_least[1] * den > reach * far_least[1] * union:
+                    done.add(y)
+            idle = idle + 1 if len(near) > 2 and 2 * (len(done) - before) < len(near) - 1 else 0
     return [root(i) for i in range(len(sets))]
 
 
