@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. A local one is made only where none is set (tests)."""
     sc = spark.sparkContext
@@ -42,14 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with per-task set-up: make() runs once a task and gives the function for each batch."""
+    """mapInArrow with per-task set-up: make() runs once a task and gives the function for each batch.
+
+    Batches are cut to ROWS rows, so that what a step holds beside them stays small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            if batch.num_rows:
+            for at in range(0, batch.num_rows, ROWS):
                 step = step or make()
-                yield step(batch)
+                yield step(batch.slice(at, ROWS))
 
     return df.mapInArrow(run, schema)
 

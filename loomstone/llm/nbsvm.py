@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import docs_of, fold, map_batches
+from loomstone.llm.common import ROWS, docs_of, fold, map_batches
 from loomstone.llm.features import calibration, indicators, labelled_rows, logistic
 
 BITS = 18
@@ -151,8 +151,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
     def run(batches):
         model = shared.value
         at = schema.fieldNames().index("text")
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
                 yield batch.filter(pa.array(model.score(batch.column(at).cast(pa.string())) >= threshold))
 
     return docs.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ input are not read.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -61,6 +62,12 @@ class ByteTokenizer:
         return self.fast(text)
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(file: str) -> ByteTokenizer:
+    """One for each worker process."""
+    return ByteTokenizer(file)
+
+
 @dataclass
 class Plan:
     """Places of each class: arrays sorted by first rank, one entry for each pattern that holds the class."""
@@ -179,7 +186,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, st
     full = -(-length // step)  # class of full pieces; remainders have classes below or at full - 1 + 1
 
     def run(batches):
-        encode, seen = ByteTokenizer(tokenizer_file), {}
+        encode, seen = _tokenizer(tokenizer_file), {}
         part = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []

@@ -20,6 +20,7 @@ are read whole. Other columns of the input are left out; an empty table gives an
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -35,7 +36,7 @@ from loomstone.llm.common import docs_of, map_batches
 
 BLANK = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 LONG_CHUNK = 256
 
 
@@ -85,10 +86,15 @@ class Vocabulary:
         known = "".join(f"\\U{ord(c):08x}" for c in sorted(held))
         self.chunks = re.compile(f"{BLANK}+[{known}]*|[{known}]+|[^{known}{BLANK}]+").findall
         self.held = held
-        self.automaton = ahocorasick.Automaton()
+
+    def automaton(self, wanted=lambda piece: True) -> ahocorasick.Automaton:
+        """Finds (length, id, score) of the wanted pieces."""
+        out = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (len(p), i, self.scores[p]))
-        self.automaton.make_automaton()
+            if wanted(p):
+                out.add_word(p, (len(p), i, self.scores[p]))
+        out.make_automaton()
+        return out
 
     def split(self, text: str) -> list[str]:
         return self.chunks(BLANK + text.replace(" ", BLANK)) if text else []
@@ -104,12 +110,36 @@ class MergeEncoder:
         self.v = vocabulary
         self.names = {i: p for p, i in vocabulary.ids.items()}
         self.fits = Cache(self._fits, 1_000_000)
-        self.sound = Cache(lambda piece: self.merge(piece) == [vocabulary.ids[piece]], 100_000)
+        # a piece that its own merges do not give is in no encoding
+        self.find = vocabulary.automaton(lambda p: len(p) == 1 or self.merge(p) == [vocabulary.ids[p]]).iter
         self.encoded = Cache(self._chunk)
 
     def merge(self, text: str) -> list[int]:
         """Merges of the best-scored adjacent pair, the leftmost among equals, until none is left."""
-        ids, scores = self.v.ids, self.v.scores
+        if len(text) > 32:
+            return self._ids(self._merge_long(text))
+        part, score = list(text), self.v.scores.get
+        none = float("-inf")
+        pair = [score(a + b, none) for a, b in zip(part, part[1:], strict=False)]
+        while pair and (best := max(pair)) > none:
+            k = pair.index(best)
+            part[k : k + 2] = [part[k] + part[k + 1]]
+            del pair[k]
+            if k:
+                pair[k - 1] = score(part[k - 1] + part[k], none)
+            if k < len(pair):
+                pair[k] = score(part[k] + part[k + 1], none)
+        return self._ids(part)
+
+    def _ids(self, parts: list[str]) -> list[int]:
+        ids = self.v.ids
+        out: list[int] = []
+        for p in parts:
+            out += [ids[p]] if p in ids else [self.v.byte_ids[x] for x in p.encode()]
+        return out
+
+    def _merge_long(self, text: str) -> list[str]:
+        scores = self.v.scores
         part: list[str | None] = list(text)
         prev, nxt = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
         heap: list[tuple[float, int, int, str]] = []
@@ -130,20 +160,15 @@ class MergeEncoder:
                 prev[nxt[b]] = a
             offer(prev[a], a)
             offer(a, nxt[a])
-        out: list[int] = []
-        for p in part:
-            if p is not None:
-                out += [ids[p]] if p in ids else [self.v.byte_ids[x] for x in p.encode()]
-        return out
+        return [p for p in part if p is not None]
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         return self.merge(self.names[pair[0]] + self.names[pair[1]]) == list(pair)
 
     def backtrack(self, chunk: str) -> list[int]:
         at: list[list[tuple[int, int]]] = [[] for _ in chunk]
-        for end, (length, i, _) in self.v.automaton.iter(chunk):
-            if length == 1 or self.sound[self.names[i]]:
-                at[end - length + 1].append((length, i))  # shorter pieces come first
+        for end, (length, i, _) in self.find(chunk):
+            at[end - length + 1].append((length, i))  # shorter pieces come first
         open_, fits, n = (1 << (len(chunk) + 1)) - 1, self.fits, len(chunk)
         out: list[int] = []
         taken: list[tuple[int, int]] = []  # start, index into at[start]
@@ -187,6 +212,7 @@ class UnigramCounter:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.unknown_score = min(0.0, min(vocabulary.scores.values())) - 10.0
+        self.find = vocabulary.automaton().iter
         self.counted = Cache(self._chunk)
 
     def _chunk(self, chunk: str) -> int:
@@ -208,7 +234,7 @@ class UnigramCounter:
                         best[done + 1], count[done + 1] = cand, count[done] + len(chunk[done].encode())
                 done += 1
 
-        for end, (length, _, score) in self.v.automaton.iter(chunk):
+        for end, (length, _, score) in self.find(chunk):
             settle(end)
             start = end - length + 1
             if length == 1:
@@ -223,11 +249,22 @@ class UnigramCounter:
         return sum(map(self.counted.__getitem__, self.v.split(text)))
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(model_file: str) -> MergeEncoder:
+    """One for each worker process, so that tasks find its cache warm."""
+    return MergeEncoder(Vocabulary(model_file))
+
+
+@functools.lru_cache(maxsize=2)
+def _counter(model_file: str) -> UnigramCounter:
+    return UnigramCounter(Vocabulary(model_file))
+
+
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit, begin and end ids included), decoded (text)."""
 
     def make():
-        encoder = MergeEncoder(Vocabulary(model_file))
+        encoder = _encoder(model_file)
         processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -244,7 +281,7 @@ def encoding_digests(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of encode_documents, made where the ids are."""
 
     def make():
-        encoder = MergeEncoder(Vocabulary(model_file))
+        encoder = _encoder(model_file)
         processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,7 +302,7 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens: pieces of the best unigram segmentation."""
 
     def make():
-        counter = UnigramCounter(Vocabulary(model_file))
+        counter = _counter(model_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes = [counter.count(t) for t in batch.column(1).to_pylist()]
