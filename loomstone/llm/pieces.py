@@ -111,7 +111,8 @@ class MergeEncoder:
         self.names = {i: p for p, i in vocabulary.ids.items()}
         self.fits = Cache(self._fits, 1_000_000)
         # a piece that its own merges do not give is in no encoding
-        self.find = vocabulary.automaton(lambda p: len(p) == 1 or self.merge(p) == [vocabulary.ids[p]]).iter
+        found = vocabulary.automaton(lambda p: len(p) == 1 or self.merge(p) == [vocabulary.ids[p]])
+        self.find, self.longest = found.iter, found.iter_long
         self.encoded = Cache(self._chunk)
 
     def merge(self, text: str) -> list[int]:
@@ -165,6 +166,16 @@ class MergeEncoder:
     def _fits(self, pair: tuple[int, int]) -> bool:
         return self.merge(self.names[pair[0]] + self.names[pair[1]]) == list(pair)
 
+    def greedy(self, chunk: str) -> list[int] | None:
+        """The longest matches from the left, if all neighbours fit: what backtracking tries first."""
+        out, fits, last = [], self.fits, -1
+        for _, (_, i, _) in self.longest(chunk):
+            if last >= 0 and not fits[last, i]:
+                return None
+            out.append(i)
+            last = i
+        return out
+
     def backtrack(self, chunk: str) -> list[int]:
         at: list[list[tuple[int, int]]] = [[] for _ in chunk]
         for end, (length, i, _) in self.find(chunk):
@@ -197,7 +208,7 @@ class MergeEncoder:
         elif chunk.startswith(BLANK * 2) or (self.v.shaky and not self.v.shaky.isdisjoint(chunk)):
             ids = self.merge(chunk)
         else:
-            ids = self.backtrack(chunk)
+            ids = self.greedy(chunk) or self.backtrack(chunk)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
