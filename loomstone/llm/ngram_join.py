@@ -310,7 +310,7 @@ def candidate_links(signed: DataFrame, num: int, den: int) -> DataFrame:
             lead = start[hot]
             yield rows(
                 np.concatenate([token[~mine], token[lead], u]), np.concatenate([cls[~mine], cls[lead], u]),
-                np.concatenate([np.zeros((~mine).sum() + len(lead)), v]), np.concatenate([meta[~mine], np.full(len(lead), HOT), np.full(len(u), LINK)]),
+                np.concatenate([np.zeros((~mine).sum() + len(lead), dtype=np.int64), v]), np.concatenate([meta[~mine], np.full(len(lead), HOT), np.full(len(u), LINK)]),
             )
 
     def gather(batches):

@@ -103,3 +103,15 @@ def test_long_lists_and_many_copies(spark):
     want = brute(rows)
     for group_shingles in (4_000_000, 3000):
         assert sorted(map(tuple, ngram_join.near_components(df, group_shingles=group_shingles).collect())) == want
+
+
+def test_links_to_a_class_with_many_copies_in_one_batch(spark):
+    r = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(1000 + i, " ".join(base)) for i in range(60)]
+    for i in range(40):
+        w = list(base)
+        w[int(r.integers(120))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, ngram_join.near_components(df).collect())) == brute(rows)
