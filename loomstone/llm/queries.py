@@ -58,4 +58,18 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_packing, op2_ngram_join, op3_toxicity, op4_exact_dedup, op5_vector_dedup, op6_pii, op7_token_counts, op8_chat, op9_quality, op10_pieces)
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op8_chat": chat.ORACLE}
+#: The links of op2 by counting shared shingles of all pairs, and their components by recursion.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS g FROM s
+), p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)
+), t AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), r AS (SELECT u, v FROM t UNION SELECT r.u, t.v FROM r JOIN t ON r.v = t.u)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n
+"""
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_exact_dedup": exact_dedup.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op8_chat": chat.ORACLE}

@@ -29,6 +29,7 @@ from loomstone.llm.textvec import mix
 
 BITS, HEADS = 18, (4, 5, 6, 7)
 TERMS, NEIGHBOURS, BLOCK = 256, 24, 64
+LEAST_CHI = 10.83  # a term that is no likelier by chance than one in a thousand
 TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
 NEAREST_FLOOR = 0.05  # added to the distance, so that an equal text has a finite weight
 
@@ -128,8 +129,8 @@ def choose_terms(rows: list[tuple], terms: int = TERMS, least: int = 5) -> np.nd
         df[y, f] += 1
     n = np.array([sum(r[1] == k for r in rows) for k in (0, 1)])
     total = df.sum(0)
-    chi = (df[1] * (n[0] - df[0]) - df[0] * (n[1] - df[1])) ** 2 / np.maximum(1, total * (n.sum() - total))
-    chi[total < least] = 0
+    chi = n.sum() * (df[1] * (n[0] - df[0]) - df[0] * (n[1] - df[1])) ** 2 / np.maximum(1, total * (n.sum() - total) * n[0] * n[1])
+    chi[(total < least) | (chi < LEAST_CHI)] = 0
     return np.sort(np.argsort(-chi, kind="stable")[: min(terms, int((chi > 0).sum()))])
 
 
