@@ -45,6 +45,24 @@ def score(docs: DataFrame, query: list[str], text: str = "text", doc: str = "doc
     return tf.join(F.broadcast(weight), "term").groupBy(doc).agg(F.sum(F.col("tf") * F.col("w")).alias("score"))
 
 
+def score_fields(docs: DataFrame, query: list[str], doc: str = "doc_id", fields: str = "fields", tokens: Callable[[Column], Column] = simple) -> DataFrame:
+    """(doc, score) over documents with several boosted fields.
+
+    Each field that holds a term is an entry: df counts entries, and a document's occurrences of the term
+    in all its fields count with the boost of each entry.
+    """
+    wanted = list(dict.fromkeys(query))
+    each = docs.select(F.col(doc), F.posexplode(fields).alias("_n", "_f"))
+    hits = each.select(doc, "_n", F.col("_f.boost").cast("double").alias("boost"), F.explode(F.filter(tokens(F.col("_f.text")), lambda w: w.isin(*wanted))).alias("term"))
+    entry = hits.groupBy(doc, "term", "_n", "boost").agg(F.count(F.lit(1)).alias("c"))
+    total = entry.groupBy(doc, "term").agg(F.sum("c").alias("tf"), F.sum("boost").alias("boost"), F.count(F.lit(1)).alias("entries"))
+    df = total.groupBy("term").agg(F.sum("entries").alias("df"))
+    times = docs.sparkSession.createDataFrame([(w, query.count(w)) for w in wanted], "term string, times int")
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    weight = df.join(times, "term").select("term", (F.col("times") * F.log10(n / F.col("df"))).alias("w"))
+    return total.join(F.broadcast(weight), "term").groupBy(doc).agg(F.sum(F.col("tf") * F.col("w") * F.col("boost")).alias("score"))
+
+
 def search(docs: DataFrame, query: list[str], limit: int, **how) -> DataFrame:
     """The best documents by score, ties by document."""
     doc = how.get("doc", "doc_id")

@@ -45,5 +45,22 @@ def ann(df: DataFrame, query: Sequence[float], k: int, vector: str = "embedding"
     return model.approxNearestNeighbors(rows, Vectors.dense([float(x) for x in query]), k, distCol="distance").select(key, "distance")
 
 
+def ivf(df: DataFrame, lists: int, vector: str = "embedding", key: str = "vec_id", sample: int = 20_000, seed: int = 5) -> tuple[DataFrame, list[list[float]]]:
+    """(df with the number of its nearest centroid in `list`, centroids), centroids fitted on `sample` rows by hash order."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    some = rows.orderBy(F.xxhash64(key)).limit(sample)
+    model = KMeans(k=lists, featuresCol="_v", predictionCol="list", seed=seed, maxIter=10).fit(some)
+    return model.transform(rows).drop("_v"), [c.tolist() for c in model.clusterCenters()]
+
+
+def probe(indexed: DataFrame, centroids: list[list[float]], query: Sequence[float], k: int, probes: int, metric: str = "euclidean", **how) -> DataFrame:
+    """knn over the `probes` lists whose centroids are nearest; a table partitioned by `list` reads no other."""
+    away = sorted(range(len(centroids)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centroids[i], query, strict=True)))
+    return knn(indexed, query, k, metric, where=F.col("list").isin(*away[:probes]), **how)
+
+
 def stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size(vector)).alias("min_dim"), F.max(F.size(vector)).alias("max_dim"))

@@ -68,6 +68,19 @@ def fts_after_delete(t: Tables):
     return fulltext.score(fulltext.remove(d, d.filter("doc_id % 3 = 0")), QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH f AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS boost, unnest({_SIMPLE}) AS term FROM conversations),
+    e AS (SELECT conv_id, turn, boost, term, count(*) AS c FROM f WHERE term IN ('thing', 'here') GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM e GROUP BY term),
+    g AS (SELECT conv_id, term, sum(c) AS tf, sum(boost) AS boost FROM e GROUP BY ALL)
+    SELECT conv_id, round(sum(tf * boost * log10((SELECT count(DISTINCT conv_id) FROM conversations) / df)), 6) AS score FROM g JOIN d USING (term) GROUP BY conv_id"""
+)
+def fts_field_scores(t: Tables):
+    """Conversations as documents with a field for each turn; what users say counts twice."""
+    boost = F.when(F.col("role") == "user", 2.0).otherwise(1.0)
+    docs = t.conversations.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").cast("string").alias("name"), "text", boost.alias("boost"))).alias("fields"))
+    return fulltext.score_fields(docs, ["thing", "here"], doc="conv_id").select("conv_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_POSTED} SELECT term, count(DISTINCT doc_id) AS df FROM posted GROUP BY term")
 def fts_doc_freq(t: Tables):
     return fulltext.document_frequencies(fulltext.postings(t.documents))
@@ -141,6 +154,13 @@ def vec_ann(t: Tables):
     return vector.ann(t.embeddings, q, 10, length=6.0, tables=12)
 
 
+@query("SELECT count(*) AS n FROM embeddings")
+def vec_ivf_lists(t: Tables):
+    """Each vector lies in one list."""
+    indexed, _ = vector.ivf(t.embeddings, 8)
+    return indexed.agg(F.count(F.when(F.col("list").between(0, 7), 1)).alias("n"))
+
+
 # geometry
 
 def boxes(t: Tables):

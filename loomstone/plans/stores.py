@@ -51,8 +51,13 @@ def kv_scan_unbounded(t: Tables):
     return kv.scan(kv.between(rows(t), low=B))
 
 
-@query(f"{WITH} SELECT key, value FROM kv ORDER BY key DESC LIMIT 50")
+@query(f"{WITH} SELECT key, value FROM kv")
 def kv_scan_reverse(t: Tables):
+    return kv.scan(rows(t), reverse=True)
+
+
+@query(f"{WITH} SELECT key, value FROM kv ORDER BY key DESC LIMIT 50")
+def kv_last_entries(t: Tables):
     return kv.scan(rows(t), reverse=True, first=50)
 
 
@@ -77,10 +82,11 @@ def kv_get(t: Tables):
 
 
 def _asked(t: Tables):
-    return t.spark.range(1, 2001, 7).select(F.lpad(F.col("id").cast("string"), 12, "0").alias("key")).unionByName(t.spark.sql("SELECT 'absent' AS key"))
+    """The keys of all lines' orders, and one that no table holds."""
+    return t.lineitem.select(F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("key")).distinct().unionByName(t.spark.sql("SELECT 'absent' AS key"))
 
 
-ASKED = "asked AS (SELECT lpad(range::varchar, 12, '0') AS key FROM range(1, 2001, 7) UNION ALL SELECT 'absent')"
+ASKED = "asked AS (SELECT DISTINCT lpad(l_orderkey::varchar, 12, '0') AS key FROM lineitem UNION ALL SELECT 'absent')"
 
 
 @query(f"{WITH}, {ASKED} SELECT key, value FROM asked LEFT JOIN kv USING (key)")
@@ -256,11 +262,12 @@ def _composite(t: Tables) -> tuple[Composite, object]:
     primary = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
     buyers = t.orders.select(F.col("o_custkey").alias("key")).distinct()
     rich = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
-    return Composite(primary, before=[buyers], after=[rich]), t.spark.range(0, 3000, 3).withColumnRenamed("id", "key")
+    keys = t.customer.select(F.col("c_custkey").alias("key")).unionByName(t.customer.select((F.col("c_custkey") + 10**9).alias("key")))
+    return Composite(primary, before=[buyers], after=[rich]), keys
 
 
 _BUYS, _RICH = "key IN (SELECT o_custkey FROM orders)", "key IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"
-_KEYS = "WITH asked AS (SELECT range AS key FROM range(0, 3000, 3))"
+_KEYS = "WITH asked AS (SELECT c_custkey AS key FROM customer UNION ALL SELECT c_custkey + 1000000000 FROM customer)"
 
 
 @query(f"{_KEYS} SELECT key, c_name AS value FROM asked JOIN customer ON c_custkey = key WHERE {_BUYS}")

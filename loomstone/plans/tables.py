@@ -45,9 +45,9 @@ def rel_anti_join(t: Tables):
     return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT n_name, s_name FROM nation FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 9 = 0) s ON n_nationkey = s_nationkey")
+@query("SELECT n_name, s_name FROM nation FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 9000) s ON n_nationkey = s_nationkey")
 def rel_full_join(t: Tables):
-    return t.nation.join(t.supplier.filter("s_suppkey % 9 = 0"), F.col("n_nationkey") == F.col("s_nationkey"), "full").select("n_name", "s_name")
+    return t.nation.join(t.supplier.filter("s_acctbal > 9000"), F.col("n_nationkey") == F.col("s_nationkey"), "full").select("n_name", "s_name")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

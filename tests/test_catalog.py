@@ -113,3 +113,23 @@ def test_append_log_and_blobs(spark, tmp_path):
     (tmp_path / "b" / "one.bin").write_bytes(b"123")
     (tmp_path / "b" / "two.bin").write_bytes(b"1" * 50)
     assert {r["length"] for r in blobs(spark, f"{tmp_path}/b").collect()} == {3, 50} and blobs(spark, f"{tmp_path}/b", 10).count() == 1
+
+
+def test_wal(spark, tmp_path):
+    from loomstone.operators import mvcc
+    from loomstone.sources.wal import Wal
+
+    log = Wal.open(spark, f"{tmp_path}/wal")
+    for txn in (1, 2, 3):
+        log.begin(txn)
+        log.write(txn, 7, "put", spark.range(3).selectExpr("id AS n", "cast(id AS string) AS key", "'v' AS value"), 3)
+    log.commit(1)
+    log.rollback(2)
+    log.checkpoint()
+    records = log.records()
+    assert records.count() == 15 and records.select("lsn").distinct().count() == 15
+    assert {(r["txn_id"], r["key"]) for r in mvcc.replay(records).collect()} == {(1, "0"), (1, "1"), (1, "2")}
+    assert [r["txn_id"] for r in mvcc.still_active(records).collect()] == [3]
+    assert Wal.open(spark, f"{tmp_path}/wal").next_lsn == 16 and log.truncated(13).count() == 3
+    with pytest.raises(ValueError, match="unknown"):
+        log.write(1, 7, "rename", spark.range(1), 1)

@@ -201,3 +201,14 @@ def test_batches(spark):
     ops = spark.createDataFrame([(0, "put", "a", "9"), (1, "delete", "a", None), (2, "put", "c", "3"), (3, "merge", "b", "x")], "seq int, op string, key string, value string")
     assert {tuple(r) for r in kv.apply_batch(state, ops.filter("op <> 'merge'")).collect()} == {("b", "2"), ("c", "3")}
     assert tuple(kv.batch_report(ops).first()) == (4, 3, 1, 4)
+
+
+def test_field_scores_and_lists(spark):
+    docs = spark.createDataFrame([("a", [("title", "fox", 3.0), ("body", "fox den", 1.0)]), ("b", [("body", "fox", 1.0)]), ("c", [("body", "den", 1.0)]), ("d", [])], "doc_id string, fields array<struct<name string, text string, boost double>>")
+    got = {r["doc_id"]: round(r["score"], 6) for r in fulltext.score_fields(docs, ["fox"]).collect()}
+    w = 0.124939  # log10(4 / 3): three entries hold the word
+    assert got == {"a": pytest.approx(2 * w * 4, abs=1e-5), "b": pytest.approx(w, abs=1e-5)}
+    df = spark.createDataFrame([(i, [float(i % 5) * 10, float(i)]) for i in range(100)], "vec_id int, embedding array<float>")
+    indexed, centroids = vector.ivf(df, 5)
+    exact = [r["vec_id"] for r in vector.knn(df, [20.0, 50.0], 3, "euclidean").collect()]
+    assert [r["vec_id"] for r in vector.probe(indexed, centroids, [20.0, 50.0], 3, 5).collect()] == exact
