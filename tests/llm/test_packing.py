@@ -32,18 +32,24 @@ def test_knapsack_is_optimal():
 
 def test_plan_places_all_items_within_capacity():
     r = np.random.default_rng(4)
-    for cap in (16, 64):
-        demand = r.integers(0, 300, size=cap)
+    shapes = [r.integers(0, 300, size=16), r.integers(0, 300, size=64), np.eye(1, 64, 63, dtype=np.int64)[0] * 7, np.eye(1, 32, 20, dtype=np.int64)[0] * 500, np.eye(1, 8, 0, dtype=np.int64)[0], np.zeros(8, dtype=np.int64)]
+    for demand in shapes:
+        cap = len(demand)
         plan = packing.cutting_plan(demand, cap)
-        load = np.zeros(plan.sequences, dtype=np.int64)
-        slots = set()
-        for i in np.flatnonzero(demand):
-            sequence, slot = plan.places(int(i), np.arange(demand[i]))
-            np.add.at(load, sequence, i + 1)
-            slots.update(zip(sequence.tolist(), slot.tolist(), strict=True))
-        assert load.max() <= cap and len(slots) == demand.sum()
-        least = -(-(demand @ np.arange(1, cap + 1)) // cap)
-        assert plan.sequences <= least * 1.03 + 3
+        cls = np.repeat(np.arange(cap), demand)
+        got = plan.places(cls, np.concatenate([np.arange(n) for n in demand] or [[]]).astype(np.int64))
+        steps = np.where(got["steps"] > 0, got["steps"], cls[got["item"]] + 1 - got["skip"]) if len(cls) else np.zeros(0, dtype=np.int64)
+        load = np.bincount(got["sequence"], weights=steps, minlength=plan.sequences) if len(cls) else np.zeros(0)
+        assert plan.sequences == 0 or load.max() <= cap
+        assert len(set(zip(got["sequence"].tolist(), got["slot"].tolist(), strict=True))) == len(steps)
+        for i in range(len(cls)):  # an item's pieces lie one after another
+            mine = sorted(zip(got["skip"][got["item"] == i].tolist(), steps[got["item"] == i].tolist(), strict=True))
+            at = 0
+            for skip, n in mine:
+                assert skip == at and n > 0
+                at += n
+            assert at == cls[i] + 1
+        assert plan.sequences <= -(-(demand @ np.arange(1, cap + 1)) // cap) * 1.01 + 1
 
 
 def test_pack(spark):
@@ -63,14 +69,17 @@ def test_pack(spark):
         filled.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
     for i, ids in want.items():
         times = 2 if i == 1002 else 1
-        assert sum(n for _, n in seen[i]) == times * len(ids) and len(set(seen[i])) * times == len(seen[i])
+        covered = np.zeros(len(ids), dtype=np.int64)
+        for start, n in seen[i]:
+            covered[start : start + n] += 1
+        assert (covered == times).all()
     for parts in filled.values():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
         assert at <= 2048
-    assert sum(n for parts in filled.values() for _, n in parts) > 0.9 * 2048 * len(filled)
+    assert sum(n for parts in filled.values() for _, n in parts) > 0.97 * 2048 * len(filled)
 
 
 def test_empty(spark):
