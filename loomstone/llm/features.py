@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,13 +16,20 @@ def _salt(kind: str, n: int = 1) -> np.uint64:
     return np.uint64((("word", "pair", "again", "head", "tail").index(kind) + 1) * (n + 1) * 0x9E3779B97F4A7C15 % 2**64)
 
 
-def _edge(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, tail: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first or last n bytes of the words longer than n, and which words those are."""
-    long = np.flatnonzero(ends - starts > n)
-    if not len(long):
-        return np.zeros(0, dtype=np.uint64), long
-    s = ends[long] - n if tail else starts[long]
-    return textvec.span_hashes(data, s, s + n), long
+def _edges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], tail: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, hashes, which words) of the first or last n bytes of the words longer than n, for each n of sizes."""
+    if not sizes:
+        return
+    length = ends - starts
+    which = np.flatnonzero(length > min(sizes))
+    total = np.zeros(len(which), dtype=np.uint64)
+    for k in range(max(sizes)):
+        at = ends[which] - 1 - k if tail else starts[which] + k
+        total += textvec.byte_hashes(data[at], k)
+        if k + 1 in sizes:
+            long = length[which] > k + 1
+            which, total = which[long], total[long]
+            yield k + 1, textvec.mix(total), which
 
 
 def _runs(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +65,7 @@ def ngrams(column: pa.Array, bits: int, heads: tuple[int, ...] = (), tails: tupl
             run, run_row = _runs(hashes, row, n)
             add(np.zeros(len(run), dtype=np.uint64), run_row, _salt("again", n))
     for sizes, tail in ((heads, False), (tails, True)):
-        for n in sizes:
-            h, which = _edge(data, starts, ends, n, tail)
+        for n, h, which in _edges(data, starts, ends, sizes, tail):
             add(h, row[which], _salt("tail" if tail else "head", n))
     return np.concatenate(found)
 

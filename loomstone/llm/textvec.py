@@ -84,6 +84,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def byte_hashes(values: np.ndarray, place: int) -> np.ndarray:
+    """What bytes at a place of their spans add to a hash."""
+    return _TABLE[values] * powers(place + 1)[place]
+
+
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each word, in order."""
     data, offsets = column_bytes(column)
