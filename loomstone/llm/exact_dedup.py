@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import docs_of
+from loomstone.llm.common import docs_of, written
 
 
 def lower_ascii(text: Column) -> Column:
@@ -40,7 +40,8 @@ def exact_groups(docs: DataFrame, keep: str = "min", normalise=lower_ascii) -> D
     one = F.when(F.col("_n") == 1, F.col("group_size")).otherwise(
         F.raise_error(F.lit("two different texts share MD5 and SHA-256")).cast("long")
     )
-    groups = groups.select("_h", "text_sha256", "keep_id", one.alias("group_size"))
+    # written, so that the join below is between two plain exchanges and a hot group can be split
+    groups = written(groups.select("_h", "text_sha256", "keep_id", one.alias("group_size")), "groups")
     ids = rows.select("doc_id", "_h", F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256"))
     return ids.join(groups, ["_h", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"
