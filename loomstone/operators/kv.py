@@ -11,7 +11,8 @@ from loomstone.operators.mvcc import newest
 
 
 def prefix(df: DataFrame, p: str, key: str = "key") -> DataFrame:
-    return df.filter(F.col(key).startswith(p))
+    """Keys that start with p, text or bytes."""
+    return df.filter(F.startswith(F.col(key), F.lit(p)))
 
 
 def between(df: DataFrame, low=None, high=None, low_open: bool = False, high_open: bool = True, key: str = "key") -> DataFrame:

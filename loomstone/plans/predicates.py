@@ -36,7 +36,7 @@ def compile_predicate(x: P) -> Column:
                 out &= c <= high if high_in else c < high
             return out
         case "prefix":
-            return F.col(a[0]).startswith(a[1])
+            return F.startswith(F.col(a[0]), F.lit(a[1]))
         case "text":  # field, word: the word occurs among the field's tokens
             from loomstone.functions.tokens import simple
 
