@@ -99,7 +99,7 @@ def _spread(classes: DataFrame, passes: int) -> DataFrame:
 
 
 def _near(group: np.ndarray, rep: np.ndarray, raw: list[bytes], dims: np.ndarray, window: int, threshold: float, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u, v) of rows at most `window` apart in one group, the later of them from `fresh` on."""
+    """Links (u, v) that join rows at most `window` apart in one group, the later of them from `fresh` on."""
     us, vs = [], []
     for dim in np.unique(dims).tolist():
         mine = np.flatnonzero(dims == dim)
@@ -111,7 +111,23 @@ def _near(group: np.ndarray, rep: np.ndarray, raw: list[bytes], dims: np.ndarray
                 us.append(rep[mine[hit + k]])
                 vs.append(rep[mine[hit]])
     none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+    return _forest(np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node to the least of its component: as many as nodes at most, however many pairs."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    name = np.arange(len(nodes))
+    while True:
+        least = name.copy()
+        np.minimum.at(least, a, name[b])
+        np.minimum.at(least, b, name[a])
+        least = least[least]
+        if np.array_equal(least, name):
+            other = name != np.arange(len(nodes))
+            return nodes[other], nodes[name[other]]
+        name = least
 
 
 def _group_ids(p, label, dim) -> np.ndarray:
