@@ -384,7 +384,8 @@ def _meet_leaders(members: DataFrame, num: int, den: int) -> tuple[DataFrame, Da
     """One round for large groups: (links found, members still open).
 
     The leader of a group is its least set not yet in a component. All sets of the group meet it in one
-    join. Groups where every set is within reach of the leader are settled in one round.
+    join. Groups where every set is within reach of the leader are settled in one round. Groups without
+    such a set are left as they are: sets held by different leaders may still link.
     """
     reach = (den - num) / den
     loose = members.groupBy("grp").agg(F.min(F.when(F.col("held").isNull(), F.col("rep"))).alias("rep")).filter("rep IS NOT NULL")
@@ -410,7 +411,8 @@ def _meet_leaders(members: DataFrame, num: int, den: int) -> tuple[DataFrame, Da
     left = met.filter(F.col("rep") != F.col("lead")).join(ring, "grp")
     left = left.filter(~near | (away >= F.col("least") - reach - 1e-9))
     held = F.when(near, F.coalesce(F.col("held"), F.col("lead"))).otherwise(F.col("held"))
-    return links, written(left.select("grp", "rep", "n", held.alias("held"), "tokens"), "left")
+    left = left.select("grp", "rep", "n", held.alias("held"), "tokens")
+    return links, written(left.unionByName(members.join(loose, "grp", "left_anti")), "left")
 
 
 def links_in_large(members: DataFrame, num: int, den: int, group_shingles: int, rounds: int = 3) -> DataFrame:

@@ -115,3 +115,13 @@ def test_links_to_a_class_with_many_copies_in_one_batch(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert sorted(map(tuple, ngram_join.near_components(df).collect())) == brute(rows)
+
+
+def test_chain_whose_open_sets_are_all_held_by_two_leaders(spark):
+    words = [f"w{i}" for i in range(140)]
+    rows = [(i, " ".join(words[k : k + 104])) for i, k in ((1, 0), (3, 9), (4, 18), (2, 27))]
+    want = brute(rows)
+    assert [c for _, _, c in want] == [1, 1, 1, 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group_shingles in (4_000_000, 100):
+        assert sorted(map(tuple, ngram_join.near_components(df, group_shingles=group_shingles).collect())) == want
