@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their first bytes. A bounded sample of labelled rows (`toxic_rows` and `clean_rows`
-at most, by hash order; near copies within it count once) gives the examples and, by chi-square, the
+at most, by hash order; near copies of one label are one example with their weights) gives the examples and, by chi-square, the
 terms that set the labels apart. Document frequencies of these terms are counted over all documents.
 Examples lie in blocks; for each term a block's largest weight bounds what the block can score, blocks
 are read from the highest bound down until the k-th best example can't be beaten, so the nearest are
@@ -31,6 +31,7 @@ BITS, HEADS = 18, (4, 5, 6, 7)
 TERMS, NEIGHBOURS, BLOCK = 256, 24, 64
 LEAST_CHI = 10.83  # a term that is no likelier by chance than one in a thousand
 TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
+ALIKE, BANDS, BAND = 0.8, 8, 3  # near copies, and the bands of min-hashes that propose them
 NEAREST_FLOOR = 0.05  # added to the distance, so that an equal text has a finite weight
 
 
@@ -110,16 +111,35 @@ class Index:
 
 
 def distinct_examples(rows: list[tuple[int, int, float, np.ndarray, np.ndarray]]) -> list[tuple]:
-    """Rows (doc_id, y, weight, features, counts) without near copies of earlier ones, by min-hash bands."""
-    seen: set[tuple] = set()
-    kept = []
+    """Rows (doc_id, y, weight, features, counts) without near copies of earlier ones of their label.
+
+    Rows that share a band of independent min-hashes are compared exactly; a near copy has a Jaccard
+    similarity of features of ALIKE or more. Its weight goes to the row that stays.
+    """
+    hashes = np.stack([mix(np.arange(1 << BITS, dtype=np.uint64) + np.uint64((k + 1) << 32)) for k in range(BANDS * BAND)], axis=1)
+    seen: dict[tuple, list[int]] = {}
+    mark = np.zeros(1 << BITS, dtype=bool)
+    kept, weight = [], []
     for r in rows:
-        least = np.sort(mix(r[3].astype(np.uint64) + np.uint64(1)))[:12].tolist()
-        bands = [(k, *least[k : k + 3]) for k in range(0, len(least), 3)]
-        if not any(x in seen for x in bands):
-            seen.update(bands)
-            kept.append(r)
-    return kept
+        f = np.unique(r[3])
+        least = hashes[f].min(axis=0).tolist() if len(f) else []
+        bands = [(r[1], k, *least[k : k + BAND]) for k in range(0, len(least), BAND)]
+        mark[f] = True
+        twin = -1
+        for i in sorted({i for x in bands for i in seen.get(x, ())}):
+            both, other = int(mark[kept[i][3]].sum()), len(kept[i][3])
+            if both >= ALIKE * (len(f) + other - both):
+                twin = i
+                break
+        mark[f] = False
+        if twin >= 0:
+            weight[twin] += r[2]
+            continue
+        for x in bands:
+            seen.setdefault(x, []).append(len(kept))
+        kept.append(r)
+        weight.append(r[2])
+    return [(*r[:2], w, *r[3:]) for r, w in zip(kept, weight, strict=True)]
 
 
 def choose_terms(rows: list[tuple], terms: int = TERMS, least: int = 5) -> np.ndarray:

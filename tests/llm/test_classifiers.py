@@ -83,6 +83,21 @@ def test_nearest_equals_brute_force():
         assert np.allclose([s for s, _ in got], want) and all(abs(dense[i] @ q - s) < 1e-9 for s, i in got)
 
 
+def test_only_near_copies_of_one_label_are_one_example():
+    r = np.random.default_rng(7)
+    share = 1 / np.arange(1, 20_001)
+    texts = [np.unique(r.choice(20_000, size=1000, p=share / share.sum())) for _ in range(300)]
+    rows = [(i, i % 2, 1.5, f, np.ones(len(f), dtype=np.int64)) for i, f in enumerate(texts)]
+    assert len(toxicity.distinct_examples(rows)) == 300
+    near = np.sort(np.append(texts[0][:-10], np.arange(30_000, 30_010)))
+    more = [(300 + k, y, 2.0, near, np.ones(len(near), dtype=np.int64)) for k, y in enumerate((0, 1, 0))]
+    got = toxicity.distinct_examples(rows + more)
+    assert [g[0] for g in got] == [*range(300), 301]
+    assert got[0][2] == 5.5 and got[-1][2] == 2.0 and sum(g[2] for g in got) == 300 * 1.5 + 6
+    none = np.zeros(0, dtype=np.int64)
+    assert len(toxicity.distinct_examples([(0, 0, 1.0, none, none), (1, 0, 1.0, none, none)])) == 2
+
+
 def test_descent_separates():
     r = np.random.default_rng(14)
     x = [(np.array([int(k)]), np.ones(1)) for k in r.integers(0, 10, size=300)]
