@@ -32,6 +32,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 EXAMPLES = 6000
+LOOK = 512
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -84,7 +85,7 @@ def base_spans(text: str) -> list[Span]:
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{12,}+").finditer
 _SIGN = re.compile(r"[:=]").finditer
 _NAMED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key)[\"']?\s{0,3}$", re.I).search
-_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"'<>|]{4,200})").match
+_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"'<>|]{4,}+)").match
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])").finditer
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])").finditer
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])").finditer
@@ -97,14 +98,20 @@ def candidates(text: str) -> list[Span]:
     """All spans that the generators propose; they may overlap."""
     out: list[Span] = []
     for m in _TOKEN(text):
-        if len(m.group()) <= 512 and any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group()):
+        if any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group()):
             value = m.group().strip("=") if m.group()[0] == "=" else m.group()
             cut = value.rfind("=", 0, max(0, len(value) - 2)) + 1 if "=" in value else 0
             start = m.start() + m.group().index(value) + cut
             out.append((start, m.start() + m.group().index(value) + len(value), "secret"))
+    end = 0  # of the last value; a name inside it proposes the rest of it, which is not read again
     for m in _SIGN(text):
-        if _NAMED(text, max(0, m.start() - 24), m.start()) and (v := _VALUE(text, m.end())):
-            out.append((v.start(1), v.end(1), "secret"))
+        if _NAMED(text, max(0, m.start() - 24), m.start()):
+            if m.end() < end:
+                if end - m.end() >= 4:
+                    out.append((m.end(), end, "secret"))
+            elif v := _VALUE(text, m.end()):
+                end = v.end()
+                out.append((v.start(1), end, "secret"))
     for kind, finder in (("ssn", _SSN), ("phone", _LOCAL_PHONE), ("iban", _IBAN), ("ip", _IPV6)):
         out += [(m.start(), m.end(), kind) for m in finder(text)]
     for m in _AT(text):
@@ -128,16 +135,16 @@ def _entropy(s: str) -> float:
 
 
 def describe(text: str, span: Span) -> list[float]:
-    """Format and context features of a candidate."""
+    """Format and context features of a candidate; of a long one, its length and first LOOK characters."""
     start, end, kind = span
-    s, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 20]
-    n, digits = len(s), _NOT_DIGIT.sub("", s)
+    s, before, after = text[start : min(end, start + LOOK)], text[max(0, start - 40) : start], text[end : end + 20]
+    n, seen, digits = end - start, len(s), _NOT_DIGIT.sub("", s)
     lower, upper = sum(c.islower() for c in s), sum(c.isupper() for c in s)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
     last = before.rstrip()[-1:] if before.strip() else ""
     group = int(digits[:3]) if kind == "ssn" and len(digits) == 9 else -1
     return [
-        *(float(kind == k) for k in KINDS), float(n), len(digits) / n, lower / n, upper / n, float(len(set(s))), _entropy(s[:256]), turns / n,
+        *(float(kind == k) for k in KINDS), float(n), len(digits) / seen, lower / seen, upper / seen, float(len(set(s))), _entropy(s[:256]), turns / seen,
         float(all(c in "0123456789abcdefABCDEF" for c in s)), float(lower > 0 and upper > 0), float(s.count("-")), float(s.count("_")), float("/" in s or "+" in s),
         float(s[:4] in ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "xoxp") or s[:3] in ("sk-", "pk_", "sk_")), float(last in "=:" and last != ""), float(before[-1:] in "\"'" and before != ""),
         float(after[:1] in "\"'" and after != ""), float(group in (0, 666) or group >= 900), float(digits[3:5] == "00" or digits[5:] == "0000") if kind == "ssn" else 0.0,

@@ -49,6 +49,21 @@ def test_extra_spans_and_redaction():
         pii.all_spans(t, trees)
 
 
+def test_long_secrets_are_found_whole():
+    trees = pii.train()
+    r = np.random.default_rng(5)
+    mixed = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for n in (150, 201, 400, 512, 513, 1600, 50_000):
+        key = "".join(r.choice(mixed, n))
+        assert pii.candidates(f"see {key} here") == [(4, 4 + n, "secret")]
+        for text in (f'secret = "{key}" end', f"my private key: {key} end"):
+            assert key[-20:] not in pii.redacted(text, pii.all_spans(text, trees)[1]), (n, text[:20])
+            assert pii.redacted(text, pii.all_spans(text, trees)[1]) == text.replace(key, "<SECRET>")
+    t = "secret=" * 20_000 + "a1" * 20
+    assert len(pii.candidates(t)) == 20_000  # the last name and the token propose the same span
+    assert pii.redacted(t, pii.all_spans(t, trees)[1]).count("a1") == 0
+
+
 def test_queries(spark):
     rows = [(1, "é a@b.co 10.0.0.1", 3), (2, None, None), (3, "", 0), (3, "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
