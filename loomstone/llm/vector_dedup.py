@@ -1,10 +1,13 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass gives a vector the concatenation of random hyperplane bits, orders the vectors of a label
+Each pass gives a vector, less the mean of its label, the concatenation of random hyperplane bits, orders the vectors of a label
 lexicographically by it and compares each vector with the `window` before it, in double precision.
-Verified pairs of all passes are united. How many passes are needed follows from the largest label:
-two vectors at the threshold agree in the bits that tell windows apart with a known probability, and
-passes go on until `recall` of such pairs are met. Pairs more alike are met more often.
+Verified pairs of all passes are united. How many passes a label needs follows from its size and its
+mean cosine: two vectors at the threshold, less the mean, agree in the bits that tell windows apart with
+a known probability, and passes go on until `recall` of such pairs are met; no label has fewer than the
+largest one without a common direction. Pairs more alike are met more often. A label with so strong a
+common direction that its passes would compare as much as all its pairs has all its pairs compared. That
+a label's vectors have no other order than a common direction is assumed, not measured.
 
 Equal vectors of a label are one class, so copies cost no windows. Range partitions split long runs of
 one hash; each partition hands its last `window` vectors to the next. Links inside a component are then
@@ -76,26 +79,81 @@ def _vectors(df: DataFrame) -> DataFrame:
     return map_batches(rows.filter("vec_id IS NOT NULL"), make, "vec_id long, label string, dim int, vec binary, key binary")
 
 
-def _spread(classes: DataFrame, passes: int) -> DataFrame:
-    """A row for each vector and pass, with its hash: (pass, label, dim, hash, rep, vec)."""
+def _directions(classes: DataFrame, base: int, threshold: float, window: int, recall: float) -> DataFrame:
+    """(label, dim, mean, size, passes, exact) of the labels larger than a window."""
+
+    def add(batches):
+        for batch in batches:
+            sums: dict[tuple, list] = {}
+            for label, dim, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = sums.setdefault((label, dim), [0, np.zeros(dim)])
+                held[0] += 1
+                held[1] += np.frombuffer(raw, dtype="<f8")
+            columns = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([h[0] for h in sums.values()], pa.int64()), pa.array([h[1].tobytes() for h in sums.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "n", "total"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        n = sum(table.column("n").to_pylist())
+        if n <= window:
+            return kind.empty_table()
+        # rounded, so that the order of the sums does not show
+        mean = np.round(np.sum([np.frombuffer(b, dtype="<f8") for b in table.column("total").to_pylist()], axis=0) / n, 9)
+        common = max(0.0, float(n * (mean @ mean) - 1) / (n - 1))  # the mean cosine of two of the label
+        left = max(0.0, (threshold - common) / (1 - common)) if common < threshold else 0.0
+        passes = max(base, passes_needed(n, left, window, recall))
+        row = {"label": table.column("label")[0].as_py(), "dim": table.column("dim")[0].as_py(), "mean": mean.tobytes(), "size": n, "passes": passes, "exact": passes > base and 2 * window * passes >= n}
+        return pa.Table.from_pylist([row], schema=kind)
+
+    kind = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("mean", pa.binary()), ("size", pa.int64()), ("passes", pa.int32()), ("exact", pa.bool_())])
+    sums = classes.select("label", "dim", "vec").mapInArrow(add, "label string, dim int, n long, total binary")
+    return sums.groupBy("label", "dim").applyInArrow(settle, "label string, dim int, mean binary, size long, passes int, exact boolean")
+
+
+def _spread(classes: DataFrame, base: int) -> DataFrame:
+    """A row for each vector and pass of its label, with its hash: (pass, label, dim, hash, rep, vec)."""
 
     def run(batches):
         for batch in batches:
             dims = batch.column(2).to_numpy()
-            raw = batch.column(3).to_pylist()
+            raw, means = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            passes = np.array([base if p is None else p for p in batch.column(5).to_pylist()])
             for dim in np.unique(dims).tolist():
                 mine = np.flatnonzero(dims == dim)
                 x = np.frombuffer(b"".join(raw[i] for i in mine), dtype="<f8").reshape(len(mine), dim)
-                some = batch.take(pa.array(mine))
-                for p in range(passes):
-                    bits = (x @ planes(dim, p) > 0).astype(np.uint64)
+                x = x - np.frombuffer(b"".join(bytes(8 * dim) if means[i] is None else means[i] for i in mine), dtype="<f8").reshape(len(mine), dim)
+                for p in range(int(passes[mine].max())):
+                    on = passes[mine] > p
+                    some = batch.take(pa.array(mine[on]))
+                    bits = (x[on] @ planes(dim, p) > 0).astype(np.uint64)
                     code = (bits << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(mine), p, dtype=np.int32)), some.column(1), some.column(2), pa.array(code), some.column(0), some.column(3)],
+                        [pa.array(np.full(len(code), p, dtype=np.int32)), some.column(1), some.column(2), pa.array(code), some.column(0), some.column(3)],
                         ["pass", "label", "dim", "hash", "rep", "vec"],
                     )
 
-    return classes.select("rep", "label", "dim", "vec").mapInArrow(run, "pass int, label string, dim int, hash long, rep long, vec binary")
+    return classes.select("rep", "label", "dim", "vec", "mean", "passes").mapInArrow(run, "pass int, label string, dim int, hash long, rep long, vec binary")
+
+
+def _all_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) that join all near pairs of a label, from (label, dim, size, rep, vec), in pairs of blocks."""
+    dealt = classes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "dim", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "vec")
+
+    def run(table: pa.Table) -> pa.Table:
+        own, rep, raw = table.column("own").to_numpy(), table.column("rep").to_numpy(), table.column("vec").to_pylist()
+        x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+        left, right = np.flatnonzero(own == table.column("a")[0].as_py()), np.flatnonzero(own == table.column("b")[0].as_py())
+        u, v = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for k in range(0, len(left), BLOCK):
+            some = left[k : k + BLOCK]
+            i, j = np.nonzero(x[some] @ x[right].T >= threshold)
+            i, j = rep[some[i]], rep[right[j]]
+            u, v = _forest(np.concatenate([u, i[i != j]]), np.concatenate([v, j[i != j]]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return dealt.groupBy("label", "dim", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def _near(group: np.ndarray, rep: np.ndarray, raw: list[bytes], dims: np.ndarray, window: int, threshold: float, fresh: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +282,14 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, window: int = 24, recal
     )
     classes = written(classes, "classes")
     most = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    spread = _spread(classes, passes_needed(most, threshold, window, recall))
+    base = passes_needed(most, threshold, window, recall)
+    directions = written(_directions(classes, base, threshold, window, recall), "directions")
+    placed = classes.join(directions, ["label", "dim"], "left")
+    spread = _spread(placed.filter("exact IS NULL OR NOT exact"), base)
     order = ["pass", "label", "dim", "hash", "rep"]
     met = written(_windows(spread.repartitionByRange(*order).sortWithinPartitions(*order), window, threshold), "met")
     links = met.filter("side IS NULL").select("u", "v").unionByName(_across(met.filter("side IS NOT NULL"), window, threshold))
+    links = links.unionByName(_all_pairs(placed.filter("exact"), threshold))
     found = written(components(links), "components").withColumnRenamed("node", "rep")
     linked = classes.join(found, "rep").select("component", "rep", "copies", "vec")
     counts = classes.select("key", "rep", "copies").join(found, "rep", "left").join(_count_links(linked, threshold), "rep", "left")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomstone.llm import vector_dedup
 
@@ -57,3 +58,23 @@ def test_odd_vectors(spark):
     assert got[8] == (2, 8, True) and got[9] == (2, 8, False) and got[12] == (2, 8, False)
     assert all(got[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 6, 7, 10, 11)) and len(got) == 12
     assert vector_dedup.near_vectors(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("n", "common"), [(3000, 0.8), (1500, 0.9)])
+def test_recall_in_a_label_with_a_common_direction(spark, n, common):
+    r = np.random.default_rng(11)
+    e = r.standard_normal((n, 64))
+    e[:, 0] = 0
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    near = (0.935 - common) / (1 - common)
+    for i in range(200):  # isolated pairs at cosine 0.935
+        w = e[200 + i] - (e[200 + i] @ e[i]) * e[i]
+        e[200 + i] = near * e[i] + np.sqrt(1 - near**2) * w / np.linalg.norm(w)
+    x = np.sqrt(1 - common) * e
+    x[:, 0] = np.sqrt(common)
+    links, name = brute(x, np.zeros(n, dtype=int))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {g["vec_id"]: g for g in vector_dedup.near_vectors(df).collect()}
+    met = [got[i]["component_id"] == name[i] for i in range(n) if name[i] != i]
+    assert len(met) >= 200 and np.mean(met) >= 0.95
+    assert all(got[i]["n_links"] <= links[i] for i in range(n))
