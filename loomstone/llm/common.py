@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-ROWS = 1000
+ROWS, BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,18 +44,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with per-task set-up: make() runs once a task and gives the function for each batch.
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ROWS rows and, beyond one row, BYTES bytes, so that what a step holds
+    beside a batch stays small. Empty batches are left out."""
+    for batch in batches:
+        left = [batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)][::-1]
+        while left:
+            one = left.pop()
+            if one.num_rows > 1 and one.nbytes > BYTES:
+                half = one.num_rows // 2
+                left += [one.slice(half), one.slice(0, half)]
+            else:
+                yield one
+
 
-    Batches are cut to ROWS rows, so that what a step holds beside them stays small.
-    """
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over slices(), with per-task set-up: make() runs once a task and gives the function for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                step = step or make()
-                yield step(batch.slice(at, ROWS))
+        for batch in slices(batches):
+            step = step or make()
+            yield step(batch)
 
     return df.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec
-from loomstone.llm.common import docs_of, map_batches, written
+from loomstone.llm.common import docs_of, map_batches, slices, written
 from loomstone.llm.components import components
 
 SKETCH_BITS = 22
@@ -74,11 +74,9 @@ def sketch(docs: DataFrame, width: int = 5) -> np.ndarray:
 
     def count(batches):
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                sets = shingle_sets(batch.column(0), width)
-                add = np.bincount(_bucket(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
-                total = add if total is None else total + add
+        for batch in slices(batches):
+            total = np.zeros(1 << SKETCH_BITS, dtype=np.int32) if total is None else total
+            np.add.at(total, _bucket(np.concatenate(shingle_sets(batch.column(0), width))), 1)
         if total is not None:
             parts = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in total.reshape(-1, CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
