@@ -6,32 +6,51 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 ROWS, BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. A local one is made only where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir. A local one is made only in local mode, where none is set (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomstone-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside read and hand over texts in batches of at most ROWS rows, so that buffers stay small."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    held = {k: int(spark.conf.get(k)) for k in names}
+    for k, n in held.items():
+        spark.conf.set(k, str(min(n, ROWS) if n > 0 else ROWS))
+    try:
+        yield
+    finally:
+        for k, n in held.items():
+            spark.conf.set(k, str(n))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost a reread."""
     path = f"{shared_dir(df.sparkSession)}/loomstone-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,7 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield one
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over slices(), with per-task set-up: make() runs once a task and gives the function for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,3 +92,36 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 def fold(mod: int):
     """crc32 of doc_id as text, mod `mod`: the fold that decides what labels may be learnt from."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod))
+
+
+def pick_rows(docs: DataFrame, rows: DataFrame, stay: DataFrame, key_of: Callable[[pa.Array], list[bytes]]) -> DataFrame:
+    """The rows of docs that stay, every column as it came.
+
+    rows: (doc_id) of every row; stay: (kept_id, kept_key, one), where key_of gives the key of a text. Of
+    rows equal in doc_id and key one stays where `one` is set, the least by a hash of its columns, else all.
+    An id that stays and is the id of one row only needs no look at the texts.
+    """
+    stay = written(stay, "stay")
+    once = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("doc_id").alias("kept_id"))
+    plain = stay.join(once, "kept_id", "left_semi").select("kept_id")
+    out = docs.join(plain, docs["doc_id"].cast("long") == plain["kept_id"], "left_semi")
+    rest = written(stay.join(once, "kept_id", "left_anti"), "repeated")
+    if rest.isEmpty():
+        return out
+    names = [f"c{i}" for i in range(len(docs.columns))]  # a caller's columns may have any name
+    text, doc_id = docs.columns.index("text"), names[docs.columns.index("doc_id")]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(key_of(batch.column(text)), pa.binary())], [*names, "row_key"])
+
+        return step
+
+    ids = rest.select("kept_id").filter("kept_id IS NOT NULL").distinct()
+    some = docs.join(ids, docs["doc_id"].cast("long") == ids["kept_id"], "left_semi").unionByName(docs.filter(docs["doc_id"].isNull())).toDF(*names)
+    keyed = map_batches(some, make, T.StructType([*some.schema.fields, T.StructField("row_key", T.BinaryType())]))
+    keyed = keyed.join(rest, F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("row_key") == F.col("kept_key")))
+    whole = F.struct(*names)
+    one = keyed.filter("one").groupBy("kept_id", "row_key").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("v"))
+    found = one.select(*(F.col(f"v.{n}").alias(n) for n in names)).unionByName(keyed.filter("NOT one").select(*names))
+    return out.unionByName(found.toDF(*docs.columns))
