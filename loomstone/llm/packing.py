@@ -8,8 +8,9 @@ its solution is rounded down and what is left is packed first-fit decreasing. Do
 within their class, in the order in which they are read, and take the cuts and pattern places of that
 class in turn. Only the histogram (at most length / step + 1 rows) and the plan reach the driver.
 
-Null and empty texts are one end id. Documents of any length are read whole. Ties in a class go by read
-order; repeated rows are packed like others. An empty table gives an empty result; other columns of the
+Null and empty texts are one end id; a null doc_id stays null and its row is packed like any other.
+Documents of any length are read whole. Ties in a class go by read order; repeated rows are packed like
+others, each row by itself. An empty table gives an empty result; other columns of the
 input are not read.
 """
 
@@ -27,9 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ROWS, docs_of, written
+from loomstone.llm.common import docs_of, slices, written
 
 LENGTH, STEP, END_ID = 2048, 8, 1
+MOST_STARTS = 2_000_000  # 16 MB of ranks
 
 
 class ByteTokenizer:
@@ -245,60 +247,76 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, st
         part = TaskContext.get().partitionId()
         kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "cls", "rank", "ids"]
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch, out = whole.slice(k, ROWS), []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encode(text), end_id], dtype="<u4")
-                    for start in range(0, len(ids), length):
-                        piece = ids[start : start + length]
-                        cls = full if len(piece) == length else (len(piece) - 1) // step
-                        rank = seen[cls] = seen.get(cls, -1) + 1
-                        out.append((doc_id, start, len(piece), zlib.crc32(piece), len(ids), part, cls, rank, piece.tobytes() if with_ids or cls != full else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        for batch in slices(batches):
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.array([*encode(text), end_id], dtype="<u4")
+                for start in range(0, len(ids), length):
+                    piece = ids[start : start + length]
+                    cls = full if len(piece) == length else (len(piece) - 1) // step
+                    rank = seen[cls] = seen.get(cls, -1) + 1
+                    out.append((doc_id, start, len(piece), zlib.crc32(piece), len(ids), part, cls, rank, piece.tobytes() if with_ids or cls != full else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, cls int, rank long, ids binary"
     return docs_of(docs).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, length: int = LENGTH, step: int = STEP, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+def pack(
+    docs: DataFrame, tokenizer_file: str, length: int = LENGTH, step: int = STEP, end_id: int = END_ID, with_ids: bool = False, most_starts: int = MOST_STARTS
+) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+
+    The first rank of each read partition and class is sent to the executors where there are at most
+    `most_starts` of them, and joined beyond.
+    """
     full = -(-length // step)
     pieces = written(cut_documents(docs, tokenizer_file, length, step, end_id, with_ids), "pieces")
-    counts = pieces.groupBy("part", "cls").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(pieces.groupBy("part", "cls").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = np.zeros(full + 1, dtype=np.int64)
     for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect():  # at most length / step + 1 rows
         histogram[r["cls"]] = r["n"]
     plan = cutting_plan(histogram[:full], full)
-    before = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", "cls", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    first = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", "cls", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
+    table = None
+    if counts.count() <= most_starts:  # of checked size: the pieces are placed where they are read
+        parts = starts.toPandas().pivot(index="part", columns="cls", values="before").reindex(columns=range(full + 1)).fillna(0)
+        table = docs.sparkSession.sparkContext.broadcast((parts.index.to_numpy(dtype=np.int64), parts.to_numpy(dtype=np.int64)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "ids"]
 
+    def ranks(b: pa.RecordBatch) -> np.ndarray:
+        if table is None:
+            return b.column("rank").to_numpy() + b.column("before").to_numpy()
+        part, before = table.value
+        return b.column("rank").to_numpy() + before[np.searchsorted(part, b.column("part").to_numpy()), b.column("cls").to_numpy()]
+
     def place_full(batches):
-        for b in batches:
-            sequence = plan.sequences + b.column("rank").to_numpy() + b.column("before").to_numpy()
+        for b in slices(batches):
+            sequence = plan.sequences + ranks(b)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:5]), pa.array(sequence), pa.array(np.zeros(len(sequence), dtype=np.int64)), b.column("ids")], names)
 
     def place(batches):
-        for whole in batches:
-            for k in range(0, whole.num_rows, 4 * ROWS):
-                b = whole.slice(k, 4 * ROWS)
-                got = plan.places(b.column("cls").to_numpy(), b.column("rank").to_numpy() + b.column("before").to_numpy())
-                item, skip = got["item"], got["skip"] * step
-                old = b.column("length").to_numpy()
-                size = np.where(got["steps"] > 0, got["steps"] * step, old[item] - skip)
-                crc, raw = b.column("ids_crc32").to_numpy()[item].copy(), b.column("ids").to_pylist()
-                ids: list[bytes | None] = [raw[i] if with_ids else None for i in item.tolist()]
-                for p in np.flatnonzero(size != old[item]).tolist():
-                    some = raw[item[p]][4 * skip[p] : 4 * (skip[p] + size[p])]
-                    crc[p] = zlib.crc32(some)
-                    ids[p] = some if with_ids else None
-                start = b.column("start").to_numpy()[item] + skip
-                columns = [b.column("doc_id").take(pa.array(item)), pa.array(start), pa.array(size), pa.array(crc), b.column("doc_tokens").take(pa.array(item)), pa.array(got["sequence"]), pa.array(got["slot"]), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for b in slices(batches):
+            got = plan.places(b.column("cls").to_numpy(), ranks(b))
+            item, skip = got["item"], got["skip"] * step
+            old = b.column("length").to_numpy()
+            size = np.where(got["steps"] > 0, got["steps"] * step, old[item] - skip)
+            crc, raw = b.column("ids_crc32").to_numpy()[item].copy(), b.column("ids").to_pylist()
+            ids: list[bytes | None] = [raw[i] if with_ids else None for i in item.tolist()]
+            for p in np.flatnonzero(size != old[item]).tolist():
+                some = raw[item[p]][4 * skip[p] : 4 * (skip[p] + size[p])]
+                crc[p] = zlib.crc32(some)
+                ids[p] = some if with_ids else None
+            start = b.column("start").to_numpy()[item] + skip
+            columns = [b.column("doc_id").take(pa.array(item)), pa.array(start), pa.array(size), pa.array(crc), b.column("doc_tokens").take(pa.array(item)), pa.array(got["sequence"]), pa.array(got["slot"]), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long, ids binary"
-    ranked = lambda df: df.join(starts, ["part", "cls"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "before", "cls", "ids")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return some if table is not None else some.join(starts, ["part", "cls"])
+
     left = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     alone = ranked(pieces.filter(F.col("cls") == full)).mapInArrow(place_full, kind).withColumn("offset", F.lit(0).cast("long")).select(*columns)

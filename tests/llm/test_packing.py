@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from loomstone.llm import packing
@@ -52,12 +53,13 @@ def test_plan_places_all_items_within_capacity():
         assert plan.sequences <= -(-(demand @ np.arange(1, cap + 1)) // cap) * 1.01 + 1
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("most_starts", [2_000_000, 0])
+def test_pack(spark, most_starts):
     r = np.random.default_rng(5)
     rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(r.integers(0, 900, size=150))]
-    rows += [(1000, None), (1001, ""), (1002, "the " * 9000), (1002, "the " * 9000), (1003, "a" * 30_000)]
+    rows += [(1000, None), (1001, ""), (1002, "the " * 9000), (1002, "the " * 9000), (1003, "a" * 30_000), (None, "no id " * 40)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, sequence_id int").repartition(3)
-    got = packing.pack(df, FILE, with_ids=True).collect()
+    got = packing.pack(df, FILE, with_ids=True, most_starts=most_starts).collect()
     library = Tokenizer.from_file(FILE)
     want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     seen, filled = {}, {}
