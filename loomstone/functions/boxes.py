@@ -24,6 +24,12 @@ class Box:
         """Two corners in any order."""
         return Box(F.lit(float(min(x1, x2))), F.lit(float(min(y1, y2))), F.lit(float(max(x1, x2))), F.lit(float(max(y1, y2))))
 
+    @staticmethod
+    def empty() -> Box:
+        """The box of nothing: not valid(), and the other box in every union()."""
+        inf = F.lit(float("inf"))
+        return Box(inf, inf, -inf, -inf)
+
     @staticmethod
     def point(x: Column, y: Column) -> Box:
         return Box(x, y, x, y)
@@ -78,6 +84,30 @@ class Box:
         return F.sqrt((a - c) * (a - c) + (b - d) * (b - d))
 
 
+@dataclass(frozen=True)
+class Box3:
+    """Boxes in three dimensions: a flat box and a range of z."""
+
+    flat: Box
+    z1: Column
+    z2: Column
+
+    def valid(self) -> Column:
+        return self.flat.valid() & (self.z1 <= self.z2)
+
+    def volume(self) -> Column:
+        return self.flat.area() * (self.z2 - self.z1)
+
+    def union(self, o: Box3) -> Box3:
+        return Box3(self.flat.union(o.flat), F.least(self.z1, o.z1), F.greatest(self.z2, o.z2))
+
+    def contains(self, o: Box3) -> Column:
+        return self.flat.contains(o.flat) & (self.z1 <= o.z1) & (self.z2 >= o.z2)
+
+    def meets(self, o: Box3) -> Column:
+        return intersects(self.flat, o.flat) & (self.z1 <= o.z2) & (self.z2 >= o.z1)
+
+
 def intersects(a: Box, b: Box) -> Column:
     """Closed boxes: touching counts."""
     return (a.x1 <= b.x2) & (a.x2 >= b.x1) & (a.y1 <= b.y2) & (a.y2 >= b.y1)
@@ -90,16 +120,20 @@ def hilbert(x: Column, y: Column, low: float, high: float, order: int = 16) -> C
     def cell(v: Column) -> Column:
         return F.least(F.lit(top), F.greatest(F.lit(0.0), F.floor((v - low) / (high - low) * top).cast("double"))).cast("long")
 
-    # state (x, y, d) is folded over the bits from the highest down
-    start = F.struct(cell(x).alias("x"), cell(y).alias("y"), F.lit(0).cast("long").alias("d"))
-    bits = F.array(*(F.lit(1 << k).cast("long") for k in range(order - 1, -1, -1)))
-
-    def step(s: Column, bit: Column) -> Column:
-        rx, ry = (s["x"].bitwiseAND(bit) > 0).cast("long"), (s["y"].bitwiseAND(bit) > 0).cast("long")
-        d = s["d"] + bit * bit * (3 * rx).bitwiseXOR(ry)
-        fx = F.when((ry == 0) & (rx == 1), bit - 1 - s["x"].bitwiseAND(bit - 1)).otherwise(s["x"].bitwiseAND(bit - 1))
-        fy = F.when((ry == 0) & (rx == 1), bit - 1 - s["y"].bitwiseAND(bit - 1)).otherwise(s["y"].bitwiseAND(bit - 1))
-        nx, ny = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-        return F.struct(nx.alias("x"), ny.alias("y"), d.alias("d"))
+    # The curve has four states: its base cell as it is (0), with x and y swapped (1), with both swapped and
+    # reflected (2), and reflected (3). The first quadrant of a cell swaps the curve inside it, the last
+    # swaps and reflects it, so states follow each other by exclusive or.
+    bits = F.array(*(F.lit(k) for k in range(order - 1, -1, -1)))
+    start = F.struct(F.lit(0).cast("long").alias("state"), F.lit(0).cast("long").alias("d"))
+    cx, cy, one = cell(x), cell(y), F.lit(1).cast("long")
+
+    def step(s: Column, k: Column) -> Column:
+        bx, by = (F.call_function("shiftright", c, k).bitwiseAND(one) for c in (cx, cy))
+        swapped, reflected = s["state"].isin(1, 2), s["state"].isin(2, 3).cast("long")
+        u = F.when(swapped, by).otherwise(bx).bitwiseXOR(reflected)
+        v = F.when(swapped, bx).otherwise(by).bitwiseXOR(reflected)
+        quadrant = (3 * u).bitwiseXOR(v)
+        turn = F.when(quadrant == 0, 1).when(quadrant == 3, 2).otherwise(0).cast("long")
+        return F.struct(s["state"].bitwiseXOR(turn).alias("state"), (4 * s["d"] + quadrant).alias("d"))
 
     return F.aggregate(bits, start, step)["d"]

@@ -17,15 +17,21 @@ def number(text: Column) -> Column:
     return F.when(clean.rlike(FLOAT), clean.try_cast("double"))
 
 
-def json_number(text: Column, name: str) -> Column:
-    """A field of a JSON object when it holds a JSON number, not text that looks like one."""
-    field = F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(field).rlike("BIGINT|DOUBLE|FLOAT|DECIMAL"), F.try_variant_get(F.try_parse_json(text), f"$.{name}", "double"))
+def json_number(text: Column, names: tuple[str, ...] = JSON_FIELDS) -> Column:
+    """The first of the named fields of a JSON object that holds a JSON number, not text that looks like one.
+    The text is parsed once, and only where it may be an object."""
+
+    def field(v: Column, name: str) -> Column:
+        held = F.try_variant_get(v, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(held).rlike("BIGINT|DOUBLE|FLOAT|DECIMAL"), F.try_variant_get(v, f"$.{name}", "double"))
+
+    found = F.transform(F.array(F.try_parse_json(text)), lambda v: F.coalesce(*(field(v, n) for n in names)))
+    return F.when(text.rlike(r"^\s*\{"), F.element_at(found, 1))
 
 
 def parse_numeric(text: Column) -> Column:
     """The number of a value: plain, after its last colon, or in a JSON object; else null."""
-    return F.coalesce(number(text), number(F.substring_index(text, ":", -1)), *(json_number(text, f) for f in JSON_FIELDS))
+    return F.coalesce(number(text), number(F.substring_index(text, ":", -1)), json_number(text))
 
 
 def zigzag(n: Column) -> Column:

@@ -19,10 +19,10 @@ def whitespace(text: Column, least: int = 1) -> Column:
 
 
 def simple(text: Column, least: int = MIN_BYTES, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Letters and digits of each word, lower-cased; short words and stop words go."""
-    clean = F.transform(F.split(F.trim(text), r"(?U)\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}]", "")))
-    kept = F.filter(clean, lambda w: F.octet_length(w) >= least)
-    return F.filter(kept, lambda w: ~w.isin(*stop)) if stop else kept
+    """Letters and digits of each word, lower-cased; short words and stop words go. The whole text is cleaned
+    before it is split, so no expression runs for each word but the last filter."""
+    words = F.split(F.lower(F.regexp_replace(text, r"(?U)[^\p{IsAlphabetic}\p{N}\s]+", "")), r"(?U)\s+")
+    return F.filter(words, lambda w: (F.octet_length(w) >= least) & ~w.isin(*stop) if stop else F.octet_length(w) >= least)
 
 
 #: Derivational endings, in the order in which they are tried.
@@ -30,7 +30,8 @@ ENDINGS = ("tion", "ness", "ment", "able", "ible", "less", "ful")
 
 
 def stem(word: Column) -> Column:
-    """Suffix rules in four stages; lengths are in bytes, as for the tokenisers."""
+    """Suffix rules in four stages; lengths are in bytes, as for the tokenisers. The suffixes and the lengths
+    they ask for are fixed values: they define the operator."""
 
     def cut(w: Column, n: int) -> Column:
         return F.left(w, F.char_length(w) - n)

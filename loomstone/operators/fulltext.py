@@ -25,8 +25,9 @@ def term_frequencies(post: DataFrame, doc: str = "doc_id") -> DataFrame:
     return post.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequencies(post: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return post.groupBy("term").agg(F.countDistinct(doc).alias("df"))
+def document_frequencies(docs: DataFrame, text: str = "text", tokens: Callable[[Column], Column] = simple) -> DataFrame:
+    """(term, df): each document gives a term once, so counts are added up before the one shuffle."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def score(docs: DataFrame, query: list[str], text: str = "text", doc: str = "doc_id", boost: float = 1.0, tokens: Callable[[Column], Column] = simple) -> DataFrame:
@@ -70,10 +71,19 @@ def search(docs: DataFrame, query: list[str], limit: int, **how) -> DataFrame:
 
 
 def phrase(docs: DataFrame, words: list[str], text: str = "text", doc: str = "doc_id", tokens: Callable[[Column], Column] = simple) -> DataFrame:
-    """Documents whose tokens hold the words in a row."""
-    t = tokens(F.col(text))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(t) - len(words), F.lit(0)))
-    return docs.filter((F.size(t) >= len(words)) & F.exists(starts, lambda i: F.slice(t, i + 1, len(words)) == F.array(*map(F.lit, words)))).select(doc)
+    """Documents whose tokens hold the words in a row; no words are in every document.
+
+    A text is tokenised once: the tokens are bound to a variable before positions are looked at, and only
+    positions of the first word are.
+    """
+    if not words:
+        return docs.select(doc)
+
+    def holds(t: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.element_at(t, i) == words[0])
+        return F.when(F.arrays_overlap(t, F.array(F.lit(words[0]))), F.exists(first, lambda i: F.slice(t, i, len(words)) == F.array(*map(F.lit, words)))).otherwise(F.lit(False))
+
+    return docs.filter(F.element_at(F.transform(F.array(tokens(F.col(text))), holds), 1)).select(doc)
 
 
 def remove(docs: DataFrame, gone: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -90,6 +100,20 @@ def stats(docs: DataFrame, **how) -> DataFrame:
     return post.agg(F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("positions")).crossJoin(docs.agg(F.count(F.lit(1)).alias("documents")))
 
 
+def verify(docs: DataFrame, post: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(problem, n) of an index: postings of documents that are gone, documents without postings, and
+    positions that are said twice."""
+    gone = post.join(docs.select(doc), doc, "left_anti").select(doc).distinct().agg(F.lit("dangling").alias("problem"), F.count(F.lit(1)).alias("n"))
+    bare = unindexed(docs, post, doc).agg(F.lit("unindexed").alias("problem"), F.count(F.lit(1)).alias("n"))
+    twice = post.groupBy(doc, "pos").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").agg(F.lit("repeated position").alias("problem"), F.count(F.lit(1)).alias("n"))
+    return gone.unionByName(bare).unionByName(twice)
+
+
+def vacuum(post: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Postings without those of documents that are gone."""
+    return post.join(docs.select(doc).distinct(), doc, "left_semi")
+
+
 def unindexed(docs: DataFrame, post: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Documents without a posting."""
     return docs.join(post.select(doc).distinct(), doc, "left_anti")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.operators import mvcc
+from loomstone.sources.shared import checkpointed as _keep
+
 
 def outgoing(edges: DataFrame, vertex, label=None) -> DataFrame:
     out = edges.filter(F.col("src") == vertex)
@@ -66,16 +69,6 @@ def stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(vertices(edges).agg(F.count(F.lit(1)).alias("vertices")))
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder the cluster names; a local one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomstone-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
 def bfs(edges: DataFrame, start, most: int | None = None, label=None) -> DataFrame:
     """(vertex, depth) of all reached from start by outgoing edges, each once, cycles or not.
 
@@ -101,40 +94,104 @@ def reachable(edges: DataFrame, start, **how) -> DataFrame:
     return bfs(edges, start, **how).select("vertex")
 
 
-def on_cycles(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Vertices that reach themselves: what is left after vertices without incoming or outgoing edges
-    have been peeled off again and again, and that lies on a walk back. Used for wait-for graphs."""
-    left = edges.select("src", "dst").distinct()
-    n = left.count()
+def _grown(edges: DataFrame, names: DataFrame, rounds: int) -> DataFrame:
+    """(vertex, name) after every vertex has taken the least name that reaches it along edges."""
     for _ in range(rounds):
-        has_in, has_out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = _keep(left.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi"))
-        last, n = n, left.count()
-        if last == n:
-            break
-    # what remains also holds bridges between cycles; keep vertices that reach themselves
-    paths = left.select("src", "dst")
+        came = edges.join(names, edges["src"] == names["vertex"]).select(F.col("dst").alias("vertex"), "name")
+        more = _keep(names.unionByName(came).groupBy("vertex").agg(F.min("name").alias("name")))
+        changed = more.join(names, ["vertex", "name"], "left_anti").isEmpty()
+        names = more
+        if changed:
+            return names
+    raise RuntimeError(f"names did not settle in {rounds} rounds")
+
+
+def on_cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(vertex) of all that reach themselves, as for the deadlocks of a wait-for graph; null ends are ignored.
+
+    Vertices without incoming or outgoing edges are peeled off until none is left. Then strongly connected
+    components are taken off: the least name spreads forward; inside one name, what reaches the vertex of that
+    name is its component. No pairs of vertices are made. Raises when `rounds` run out.
+    """
+    left = _keep(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    found = left.filter("src = dst").select(F.col("src").alias("vertex"))
+    left = _keep(left.filter("src <> dst"))
     for _ in range(rounds):
-        far = paths.withColumnRenamed("dst", "m").join(paths.withColumnRenamed("src", "m"), "m").select("src", "dst")
-        paths, before = _keep(paths.union(far).distinct()), paths.count()
-        if paths.count() == before:
-            break
-    return paths.filter("src = dst").select(F.col("src").alias("vertex"))
+        for _ in range(rounds):
+            n = left.count()
+            has_in, has_out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+            left = _keep(left.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi"))
+            if left.count() == n:
+                break
+        else:
+            raise RuntimeError(f"vertices without a way on were not all found in {rounds} rounds")
+        if not n:
+            return found.distinct()
+        own = vertices(left).select("vertex", F.col("vertex").alias("name"))
+        names = _grown(left, own, rounds)
+        one, two = names.select(F.col("vertex").alias("src"), F.col("name").alias("a")), names.select(F.col("vertex").alias("dst"), F.col("name").alias("b"))
+        inside = _keep(left.join(one, "src").join(two, "dst").filter("a = b").select("src", "dst"))
+        # backwards from each name's own vertex, along edges inside the name
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        heads = names.filter("vertex = name")
+        reach = heads
+        for _ in range(rounds):
+            came = back.join(reach, back["src"] == reach["vertex"]).select(F.col("dst").alias("vertex"), "name")
+            more = _keep(reach.unionByName(came).distinct())
+            done = more.count() == reach.count()
+            reach = more
+            if done:
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        large = reach.groupBy("name").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("name")
+        found = _keep(found.unionByName(reach.join(large, "name", "left_semi").select("vertex")))
+        gone = reach.select("vertex")
+        left = _keep(inside.join(gone, inside["src"] == gone["vertex"], "left_anti").join(gone, inside["dst"] == gone["vertex"], "left_anti"))
+    raise RuntimeError(f"components were not all found in {rounds} rounds")
 
 
 def preorder(edges: DataFrame, start: str, depth: int) -> DataFrame:
-    """(vertex, path) by depth-first order on an acyclic graph, children by name, to a depth."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_loomstone_steps")
-    return spark.sql(
+    """(vertex, path, depth) in depth-first order on an acyclic graph, children by name, to a depth."""
+    return edges.sparkSession.sql(
         """
         WITH RECURSIVE walk(vertex, path, depth) AS (
           SELECT CAST(:start AS STRING), CAST(:start AS STRING), 0
           UNION ALL
           SELECT CAST(s.dst AS STRING), concat(w.path, '/', s.dst), w.depth + 1
-          FROM walk w JOIN _loomstone_steps s ON CAST(s.src AS STRING) = w.vertex WHERE w.depth < :depth
+          FROM walk w JOIN {steps} s ON CAST(s.src AS STRING) = w.vertex WHERE w.depth < :depth
         )
         SELECT vertex, path, depth FROM walk ORDER BY path
         """,
-        args={"start": start, "depth": depth},
-    )
+        args={"start": start, "depth": depth}, steps=edges.select("src", "dst").distinct(),
+    )
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How a graph's edges are read: both ways or one, with weights or without, and how many a vertex should have."""
+
+    undirected: bool = False
+    weighted: bool = False
+    most_edges: int | None = None
+
+    def edges(self, edges: DataFrame) -> DataFrame:
+        out = edges if self.weighted else edges.withColumn("weight", F.lit(None).cast(edges.schema["weight"].dataType))
+        return undirected(out) if self.undirected else out
+
+    def crowded(self, edges: DataFrame) -> DataFrame:
+        """(vertex, edges) of vertices with more outgoing edges than they should have."""
+        n = self.edges(edges).groupBy(F.col("src").alias("vertex")).agg(F.count(F.lit(1)).alias("edges"))
+        return n.filter(F.lit(False) if self.most_edges is None else F.col("edges") > self.most_edges)
+
+
+UNDIRECTED, WEIGHTED, UNDIRECTED_WEIGHTED = Shape(undirected=True), Shape(weighted=True), Shape(undirected=True, weighted=True)
+
+
+def visible(log: DataFrame, lsn: int) -> DataFrame:
+    """The edges of a change log (edge_id, src, label, dst, weight, is_deleted, txn_id, commit_lsn, seq) as of lsn."""
+    return mvcc.visible(log, lsn, keys=("src", "label", "edge_id"))
+
+
+def vacuum(log: DataFrame, watermark: int) -> DataFrame:
+    return mvcc.vacuum(log, watermark, keys=("src", "label", "edge_id"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,18 +80,46 @@ def delete(df: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
-def range_delete(df: DataFrame, low, high, key: str = "key") -> DataFrame:
-    return df.filter((F.col(key) < low) | (F.col(key) >= high))
+def _inside(low=None, high=None, low_open: bool = False, high_open: bool = True, key: str = "key") -> Column:
+    out = F.col(key).isNotNull()
+    if low is not None:
+        out &= F.col(key) > low if low_open else F.col(key) >= low
+    if high is not None:
+        out &= F.col(key) < high if high_open else F.col(key) <= high
+    return out
+
+
+def range_delete(df: DataFrame, low=None, high=None, low_open: bool = False, high_open: bool = True, key: str = "key") -> DataFrame:
+    """df without the keys of a range with open, closed or absent ends; null keys stay."""
+    return df.filter(~F.coalesce(_inside(low, high, low_open, high_open, key), F.lit(False)))
+
+
+def range_count(df: DataFrame, low=None, high=None, low_open: bool = False, high_open: bool = True, key: str = "key") -> DataFrame:
+    """(deleted): how many rows range_delete() takes away."""
+    return df.agg(F.count_if(_inside(low, high, low_open, high_open, key)).alias("deleted"))
+
+
+RANGES = 1000  # range deletes that meet the state in one pass
 
 
 def apply_batch(df: DataFrame, ops: DataFrame) -> DataFrame:
-    """The state (key, value) after ops (seq, op: put or delete, key, value): the last op of a key counts."""
+    """The state (key, value) after ops (seq, op, key, value). Of a key the last put or delete counts;
+    range_delete takes the keys of [key, value) that were last written before it; merge does nothing.
+
+    Range deletes meet the state RANGES at a time, each time in one broadcast of so many rows.
+    """
     base = df.select("key", "value", F.lit("put").alias("op"), F.lit(-1).cast("long").alias("seq"))
-    return newest(base.unionByName(ops.select("key", "value", "op", F.col("seq").cast("long").alias("seq")))).filter(F.col("op") == "put").select("key", "value")
+    ops = ops.select("key", "value", "op", F.col("seq").cast("long").alias("seq"))
+    out = newest(base.unionByName(ops.filter(F.col("op").isin("put", "delete")))).filter(F.col("op") == "put")
+    ranges = ops.filter(F.col("op") == "range_delete").select(F.col("key").alias("_low"), F.col("value").alias("_high"), F.col("seq").alias("_at"))
+    for k in range(-(-ranges.count() // RANGES)):
+        some = ranges.orderBy("_at").offset(k * RANGES).limit(RANGES)
+        out = out.join(F.broadcast(some), (F.col("key") >= F.col("_low")) & (F.col("key") < F.col("_high")) & (F.col("seq") < F.col("_at")), "left_anti")
+    return out.select("key", "value")
 
 
 def batch_report(ops: DataFrame) -> DataFrame:
-    """attempted, applied, deleted and bytes written of a batch; merges are counted but not applied."""
+    """attempted, applied, deleted and bytes written of a batch; merges and ranges are attempted, not counted as applied."""
     put, gone = F.col("op") == "put", F.col("op") == "delete"
     return ops.agg(
         F.count(F.lit(1)).alias("attempted"), F.count_if(put | gone).alias("applied"), F.count_if(gone).alias("deleted"),
@@ -106,6 +136,54 @@ def merge_runs(runs: Sequence[DataFrame], key: str = "key") -> DataFrame:
     return newest(out, (key,), "_rank").filter(~F.col("is_deleted")).drop("_rank", "is_deleted")
 
 
+def run_holds(keys: DataFrame, run: DataFrame, key: str = "key") -> DataFrame:
+    """keys with what a sorted run says of each: value, or a tombstone, or nothing."""
+    said = run.select(key, F.when(F.col("is_deleted"), "tombstone").otherwise("value").alias("said"))
+    return keys.join(said, key, "left").withColumn("said", F.coalesce("said", F.lit("nothing")))
+
+
+def overlapping(runs: DataFrame, low, high) -> DataFrame:
+    """The files (min_key, max_key, ...) of a manifest whose key range meets [low, high]."""
+    return runs.filter((F.col("max_key") >= low) & (F.col("min_key") <= high))
+
+
+@dataclass
+class Cursor:
+    """A place in the order of a key column. Each move is one top-1 query with a pushed bound, so nothing is
+    held open; key and value are null before the first move and past either end."""
+
+    df: DataFrame
+    key_name: str = "key"
+    value_name: str = "value"
+    key: Any = None
+    value: Any = None
+
+    def _to(self, found: DataFrame) -> bool:
+        row = found.select(self.key_name, self.value_name).first()
+        self.key, self.value = (row[0], row[1]) if row else (None, None)
+        return row is not None
+
+    def first(self) -> bool:
+        return self._to(scan(self.df, self.key_name, first=1))
+
+    def last(self) -> bool:
+        return self._to(scan(self.df, self.key_name, reverse=True, first=1))
+
+    def seek(self, at) -> bool:
+        """To the first key at or after `at`."""
+        return self._to(seek(self.df, at, self.key_name))
+
+    def seek_prev(self, at) -> bool:
+        """To the last key at or before `at`."""
+        return self._to(seek_back(self.df, at, self.key_name))
+
+    def next(self) -> bool:
+        return self.key is not None and self._to(scan(between(self.df, low=self.key, low_open=True, key=self.key_name), self.key_name, first=1))
+
+    def prev(self) -> bool:
+        return self.key is not None and self._to(scan(between(self.df, high=self.key, key=self.key_name), self.key_name, reverse=True, first=1))
+
+
 def index_of(df: DataFrame, entry: Column, primary: str) -> DataFrame:
     """An ordered secondary index: (index_key, primary_key)."""
     return df.select(entry.alias("index_key"), F.col(primary).alias("primary_key"))

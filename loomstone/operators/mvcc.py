@@ -41,11 +41,18 @@ def history(log: DataFrame) -> DataFrame:
     return done.withColumn("replaced_lsn", F.lead("commit_lsn").over(w))
 
 
-def vacuum(log: DataFrame, watermark: int) -> DataFrame:
+def vacuum(log: DataFrame, watermark: int, keys: Sequence[str] = ("key",)) -> DataFrame:
     """What vacuum keeps: uncommitted versions, those at or past the watermark, and the newest below it."""
     old = F.col("commit_lsn") < watermark
-    last = log.filter(old).groupBy("key").agg(F.max("seq").alias("_last"))
-    return log.join(last, "key", "left").filter(F.col("commit_lsn").isNull() | ~old | (F.col("seq") == F.col("_last"))).drop("_last")
+    last = log.filter(old).groupBy(*keys).agg(F.max("seq").alias("_last"))
+    return log.join(last, list(keys), "left").filter(F.col("commit_lsn").isNull() | ~old | (F.col("seq") == F.col("_last"))).drop("_last")
+
+
+def verify(log: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """(problem, n) of a change log: versions of a key with one place, without a place, and without a transaction."""
+    twice = log.groupBy(*keys, "seq").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").agg(F.lit("repeated seq").alias("problem"), F.count(F.lit(1)).alias("n"))
+    each = log.agg(F.count_if(F.col("seq").isNull()).alias("no seq"), F.count_if(F.col("txn_id").isNull()).alias("no transaction"))
+    return twice.unionByName(each.unpivot([], ["no seq", "no transaction"], "problem", "n"))
 
 
 def commit(log: DataFrame, txn_id: int, lsn: int) -> DataFrame:

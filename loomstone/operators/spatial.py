@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from loomstone.functions.boxes import Box, intersects
+from loomstone.operators import mvcc
+from loomstone.sources.shared import checkpointed
 
 COLUMNS = ("min_x", "min_y", "max_x", "max_y")
 
@@ -46,15 +49,65 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, lid: str = "id", ri
     return met.filter(common.valid() & own).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
+def _ntile(rank: Column, total: Column, tiles: int) -> Column:
+    """The tile, from 1, of a rank, from 0, when `total` rows are dealt to tiles whose sizes differ by one at most."""
+    small, over = F.call_function("div", total, F.lit(tiles)), F.pmod(total, F.lit(tiles))
+    edge = over * (small + 1)
+    return F.when(rank < edge, F.call_function("div", rank, small + 1)).otherwise(over + F.call_function("div", rank - edge, small)) + 1
+
+
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """df with its place in an order (`rank`, from 0) and the number of rows (`total`), in many tasks: ranges of
+    the order are ranked by themselves, and the rows before each range are added. Only a count for each
+    range is gathered in one task."""
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).cast("long").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    inside = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return inside.join(starts, "_part").withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_part", "_before", "_place")
+
+
 def str_tiles(df: DataFrame, slices: int, per_slice: int, key: str = "id") -> DataFrame:
-    """Sort-tile-recursive tiles by centre: (key, slice, tile). Slices are cut at x quantiles by rank."""
+    """Sort-tile-recursive tiles by centre: (key, slice, tile). Slices are cut by rank in x, found range by
+    range; a slice is tiled by rank in y, slice by slice."""
     cx, cy = Box.of().center()
-    rows = df.select(key, cx.alias("_x"), cy.alias("_y"))
-    rows = rows.withColumn("slice", F.ntile(slices).over(Window.orderBy("_x", "_y", key)))
+    rows = ranked(df.select(key, cx.alias("_x"), cy.alias("_y")), "_x", "_y", key)
+    rows = rows.withColumn("slice", _ntile(F.col("rank"), F.col("total"), slices)).drop("rank", "total")
     rows = rows.withColumn("tile", F.ntile(per_slice).over(Window.partitionBy("slice").orderBy("_y", "_x", key)))
     return rows.select(key, F.col("slice").cast("long").alias("slice"), F.col("tile").cast("long").alias("tile"))
 
 
+def visible(log: DataFrame, lsn: int, key: str = "id") -> DataFrame:
+    """The boxes of a change log (id, four box columns, is_deleted, txn_id, commit_lsn, seq) as of lsn."""
+    return mvcc.visible(log, lsn, keys=(key,))
+
+
+def insert(df: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """df with new boxes, which take the place of boxes of the same key."""
+    return remove(df, new, key).unionByName(new.select(*df.columns))
+
+
+def insert_wkb(df: DataFrame, new: DataFrame, key: str = "id", wkb: str = "wkb") -> DataFrame:
+    """df with the boxes of geometries (key, wkb); those that can't be read are left out."""
+    made = new.select(key, wkb_boxes(F.col(wkb)).alias("_m")).filter("_m.min_x IS NOT NULL AND NOT isnan(_m.min_x)")
+    return insert(df, made.select(key, *(F.col(f"_m.{c}").alias(c) for c in COLUMNS)), key)
+
+
+def remove(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """df without the keys of `gone`; keys that it does not hold change nothing."""
+    return df.join(gone.select(key), key, "left_anti")
+
+
+def verify(df: DataFrame, key: str = "id") -> DataFrame:
+    """(problem, n): boxes whose corners are the wrong way round or no numbers, and keys said twice."""
+    bad = F.lit(False)
+    for c in COLUMNS:
+        bad |= F.col(c).isNull() | F.isnan(c)
+    n = df.agg(F.count_if(~bad & ~Box.of().valid()).alias("inverted"), F.count_if(bad).alias("no number"), (F.count(key) - F.countDistinct(key)).alias("repeated key"))
+    return n.unpivot([], ["inverted", "no number", "repeated key"], "problem", "n")
+
+
 def clustered(df: DataFrame, partitions: int) -> DataFrame:
     """df laid out for pruning: range-partitioned by x, sorted by y inside (the bulk load at scale)."""
     cx, cy = Box.of().center()
@@ -121,11 +174,41 @@ def wkb_box(raw: bytes | None) -> tuple[float, float, float, float] | None:
     return min(xs), min(ys), max(xs), max(ys)
 
 
+def _plain_boxes(raw: list[bytes | None], out: np.ndarray) -> np.ndarray:
+    """Fills the boxes of plain two-dimensional points and line strings, those of one form all at once; gives
+    the positions of all other values."""
+    forms: dict[tuple, list[int]] = {}
+    rest = []
+    for i, b in enumerate(raw):
+        size = len(b) if b is not None else 0
+        if size >= 21 and b[0] in (0, 1) and bytes(b[1:5]) in ((b"\x01\0\0\0", b"\x02\0\0\0") if b[0] else (b"\0\0\0\x01", b"\0\0\0\x02")):
+            forms.setdefault((b[0], bytes(b[1:5]), size), []).append(i)
+        else:
+            rest.append(i)
+    for (order, kind, size), who in forms.items():
+        one, end = "<" if order else ">", 5 if 1 in kind else 9
+        table = np.frombuffer(b"".join(raw[i] for i in who), dtype=np.uint8).reshape(len(who), size)
+        points = 1 if end == 5 else np.ascontiguousarray(table[:, 5:9]).view(f"{one}u4").ravel()
+        fits = np.full(len(who), size >= 21) if end == 5 else 9 + 16 * points.astype(np.int64) <= size
+        n = 1 if end == 5 else (size - 9) // 16
+        whole = fits & (points == n) if end == 9 else fits
+        xy = np.ascontiguousarray(table[:, end : end + 16 * n]).view(f"{one}f8").reshape(len(who), n, 2).astype(np.float64)
+        whole &= ~np.isnan(xy).any(axis=(1, 2))
+        at = np.array(who)
+        out[at[whole], :2], out[at[whole], 2:] = xy[whole].min(axis=1), xy[whole].max(axis=1)
+        rest += at[~whole].tolist()
+    return np.array(sorted(rest), dtype=np.int64)
+
+
 def wkb_boxes(column: Column) -> Column:
-    """A struct of the four box columns; Arrow batches, as no built-in reads the format."""
+    """A struct of the four box columns; Arrow batches, as no built-in reads the format. Points and line
+    strings are read form by form, nested geometries one by one."""
 
     @pandas_udf("min_x double, min_y double, max_x double, max_y double")
     def parse(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wkb_box(r) or (None,) * 4 for r in raw], columns=list(COLUMNS), dtype="float64")
+        values, out = raw.tolist(), np.full((len(raw), 4), np.nan)
+        for i in _plain_boxes(values, out).tolist():
+            out[i] = wkb_box(values[i]) or (np.nan,) * 4
+        return pd.DataFrame(out, columns=list(COLUMNS))
 
     return parse(column)

@@ -6,13 +6,13 @@ scan's start, ranges are half-open, latest-before is inclusive.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from loomstone.operators import mvcc
+
 KINDS = ("sum", "avg", "min", "max", "count")
 
 
@@ -27,12 +27,40 @@ def latest_before(df: DataFrame, at, by: str = "series", ts: str = "ts", value:
     return df.filter(F.col(ts) <= at).groupBy(by).agg(F.max(ts).alias(ts), F.max_by(value, ts).alias(value))
 
 
-def asof(probes: DataFrame, points: DataFrame, by: str = "series", ts: str = "ts", value: str = "value", out: str = "asof_value") -> DataFrame:
+def get(df: DataFrame, at, series, by: str = "series", ts: str = "ts") -> DataFrame:
+    """The points of a series at exactly one time."""
+    return df.filter((F.col(by) == series) & (F.col(ts) == at))
+
+
+def bucket_points(df: DataFrame, size: int, by: str = "series", ts: str = "ts") -> DataFrame:
+    """(by, bucket, points) of every bucket that has points."""
+    return df.groupBy(by, bucket(F.col(ts), size).alias("bucket")).agg(F.count(F.lit(1)).alias("points"))
+
+
+def visible(log: DataFrame, lsn: int, by: str = "series", ts: str = "ts") -> DataFrame:
+    """The points of a change log (series, ts, value, is_deleted, txn_id, commit_lsn, seq) as of lsn."""
+    return mvcc.visible(log, lsn, keys=(by, ts))
+
+
+def asof(probes: DataFrame, points: DataFrame, by: str = "series", ts: str = "ts", value: str = "value", out: str = "asof_value", size: int | None = None) -> DataFrame:
     """probes with the value of the last point of their series at or before their ts.
 
     Both sides meet in one window per series over their union, so the cost is one shuffle and sort, and
-    no probe is compared with more than its neighbour. Points at the same ts come before probes.
+    no probe is compared with more than its neighbour. Points at the same ts come before probes. With
+    `size`, a whole number, a window holds one bucket of that much time, so a hot series is many tasks;
+    probes before a bucket's first point take the last point of an earlier bucket, found among one row for
+    each bucket.
     """
+    if size is not None:
+        at = lambda df: df.withColumn("_bucket", bucket(F.col(ts), size))
+        near = asof(at(probes).withColumn("_series", F.struct(by, "_bucket")), at(points).select(F.struct(by, "_bucket").alias("_series"), ts, value), "_series", ts, value, out)
+        last = at(points).groupBy(by, "_bucket").agg(F.struct(F.max(ts).alias("t"), F.max_by(value, F.col(ts)).alias("v")).alias("_last"))
+        asked = near.select(by, "_bucket").distinct().withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType))
+        w = Window.partitionBy(by).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
+        earlier = last.unionByName(asked).withColumn("_before", F.last("_last", ignorenulls=True).over(w)).groupBy(by, "_bucket").agg(F.first("_before", ignorenulls=True).alias("_before"))
+        met = near.join(earlier, [by, "_bucket"], "left")
+        none = F.col("asof_ts").isNull()
+        return met.select(*probes.columns, F.when(none, F.col("_before.v")).otherwise(F.col(out)).alias(out), F.when(none, F.col("_before.t")).otherwise(F.col("asof_ts")).alias("asof_ts"))
     p = probes.select(*probes.columns, F.lit(1).alias("_probe"), F.lit(None).cast(points.schema[value].dataType).alias("_value"), F.lit(None).cast(points.schema[ts].dataType).alias("_at"))
     rest = [c for c in probes.columns if c not in (by, ts)]
     q = points.select(F.col(by), F.col(ts), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in rest), F.lit(0).alias("_probe"), F.col(value).alias("_value"), F.col(ts).alias("_at"))
@@ -55,7 +83,7 @@ def downsample(df: DataFrame, start: int, end: int, interval: int, kind: str, va
     if interval <= 0:
         raise ValueError("the interval must be positive")
     t = F.col(ts) if isinstance(ts, str) else ts
-    w = (F.lit(start) + F.floor((t - start) / interval) * interval).cast("long")
+    w = (t - F.pmod(t - start, F.lit(interval))).cast("long")  # whole numbers: nanoseconds don't fit a double
     rows = df.filter((t >= start) & (t < end)).withColumn("window_start", w)
     out = aggregate(rows, kind, value, (*by, "window_start"))
     return out.withColumn("window_end", F.least(F.col("window_start") + interval, F.lit(end)).cast("long"))
@@ -74,7 +102,7 @@ def without(df: DataFrame, removed: DataFrame, by: str = "series", ts: str = "ts
 
 def bucket(ts: Column, size: int) -> Column:
     """Bucket number by floor division, so times before the epoch have buckets too."""
-    return F.floor(ts / size).cast("long")
+    return F.call_function("div", ts - F.pmod(ts, F.lit(size)), F.lit(size))
 
 
 def bucket_start(number: Column, size: int) -> Column:
@@ -132,14 +160,14 @@ def xor_bits(df: DataFrame, value: str = "value", by: str = "series", ts: str =
 
 
 def unxor_bits(df: DataFrame, by: str = "series", ts: str = "ts") -> DataFrame:
-    """(by, ts, value) from xor_bits(): a running exclusive-or, as one ordered list per series bucket."""
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(ts)
-        bits = np.bitwise_xor.accumulate(table.column("xor").to_numpy())
-        return pa.table({by: table.column(by), ts: table.column(ts), "value": pa.array(bits.view(np.float64))})
-
-    kinds = df.schema
-    return df.groupBy(by).applyInArrow(run, f"{by} {kinds[by].dataType.simpleString()}, {ts} {kinds[ts].dataType.simpleString()}, value double")
+    """(by, ts, value) from xor_bits(): a running exclusive-or in a window; batches of bits become doubles."""
+
+    @pandas_udf("double")
+    def number(bits: pd.Series) -> pd.Series:
+        return pd.Series(bits.to_numpy(dtype="int64").view("float64"))
+
+    w = Window.partitionBy(by).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select(by, ts, number(F.bit_xor("xor").over(w)).alias("value"))
 
 
 def double_bits(df: DataFrame, value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.distance import distance
+from loomstone.operators import mvcc
 
 
 def knn(df: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id", where: Column | None = None) -> DataFrame:
@@ -45,15 +46,21 @@ def ann(df: DataFrame, query: Sequence[float], k: int, vector: str = "embedding"
     return model.approxNearestNeighbors(rows, Vectors.dense([float(x) for x in query]), k, distCol="distance").select(key, "distance")
 
 
+def assign(df: DataFrame, centroids: Sequence[Sequence[float]], vector: str = "embedding") -> DataFrame:
+    """df with the number of the nearest centroid in `list`, ties to the first: one projection."""
+    away = [F.struct(distance(F.col(vector), list(c), "euclidean").alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)]
+    return df.withColumn("list", F.array_min(F.array(*away))["i"])
+
+
 def ivf(df: DataFrame, lists: int, vector: str = "embedding", key: str = "vec_id", sample: int = 20_000, seed: int = 5) -> tuple[DataFrame, list[list[float]]]:
     """(df with the number of its nearest centroid in `list`, centroids), centroids fitted on `sample` rows by hash order."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    some = rows.orderBy(F.xxhash64(key)).limit(sample)
-    model = KMeans(k=lists, featuresCol="_v", predictionCol="list", seed=seed, maxIter=10).fit(some)
-    return model.transform(rows).drop("_v"), [c.tolist() for c in model.clusterCenters()]
+    some = df.orderBy(F.xxhash64(key)).limit(sample).select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    model = KMeans(k=lists, featuresCol="_v", seed=seed, maxIter=10).fit(some)
+    centroids = [c.tolist() for c in model.clusterCenters()]
+    return assign(df, centroids, vector), centroids
 
 
 def probe(indexed: DataFrame, centroids: list[list[float]], query: Sequence[float], k: int, probes: int, metric: str = "euclidean", **how) -> DataFrame:
@@ -62,5 +69,22 @@ def probe(indexed: DataFrame, centroids: list[list[float]], query: Sequence[floa
     return knn(indexed, query, k, metric, where=F.col("list").isin(*away[:probes]), **how)
 
 
+def visible(log: DataFrame, lsn: int, key: str = "vec_id") -> DataFrame:
+    """The vectors of a change log (vec_id, embedding, is_deleted, txn_id, commit_lsn, seq) as of lsn."""
+    return mvcc.visible(log, lsn, keys=(key,))
+
+
+def vacuum(log: DataFrame, watermark: int, key: str = "vec_id") -> DataFrame:
+    return mvcc.vacuum(log, watermark, keys=(key,))
+
+
+def verify(df: DataFrame, dim: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(problem, n): vectors of another length, with an element that is no number, and keys said twice. Search
+    reads every row, so what is stored can be reached."""
+    bad = F.exists(F.col(vector).cast("array<double>"), lambda x: x.isNull() | F.isnan(x))
+    n = df.agg(F.count_if(F.size(vector) != dim).alias("length"), F.count_if(bad).alias("no number"), (F.count(key) - F.countDistinct(key)).alias("repeated key"))
+    return n.unpivot([], ["length", "no number", "repeated key"], "problem", "n")
+
+
 def stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size(vector)).alias("min_dim"), F.max(F.size(vector)).alias("max_dim"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from loomstone.functions import tokens
 from loomstone.functions.boxes import Box, hilbert
 from loomstone.functions.distance import distance
-from loomstone.operators import fulltext, graph, spatial, vector
+from loomstone.operators import fulltext, graph, mvcc, spatial, timeseries, vector
 from loomstone.plans.predicates import compile_predicate, p
 from loomstone.plans.registry import Tables, query
+from loomstone.sources.tables import micros
 
 # full text
 
@@ -83,13 +84,12 @@ def fts_field_scores(t: Tables):
 
 @query(f"WITH {_POSTED} SELECT term, count(DISTINCT doc_id) AS df FROM posted GROUP BY term")
 def fts_doc_freq(t: Tables):
-    return fulltext.document_frequencies(fulltext.postings(t.documents))
+    return fulltext.document_frequencies(t.documents)
 
 
-@query(f"SELECT doc_id, (list_position(tk, 'licensed') - 1)::BIGINT AS pos FROM (SELECT doc_id, {_SIMPLE} AS tk FROM documents) WHERE list_contains(tk, 'licensed')")
+@query(f"SELECT doc_id, (i - 1)::BIGINT AS pos FROM (SELECT doc_id, {_SIMPLE} AS tk, unnest(range(1, len(tk) + 1)) AS i FROM documents) WHERE tk[i] = 'licensed'")
 def fts_positions(t: Tables):
-    post = fulltext.postings(t.documents).filter("term = 'licensed'")
-    return post.groupBy("doc_id").agg(F.min("pos").cast("long").alias("pos"))
+    return fulltext.postings(t.documents).filter("term = 'licensed'").select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"WITH {_POSTED} SELECT (SELECT count(DISTINCT term) FROM posted) AS terms, (SELECT count(*) FROM posted) AS positions, (SELECT count(*) FROM documents) AS documents")
@@ -154,11 +154,31 @@ def vec_ann(t: Tables):
     return vector.ann(t.embeddings, q, 10, length=6.0, tables=12)
 
 
-@query("SELECT count(*) AS n FROM embeddings")
+_LISTS = f"""{_V}, c AS (SELECT vec_id AS list, e AS q FROM v WHERE vec_id < 8), away AS (SELECT v.vec_id, c.list, list_distance(v.e, c.q) AS d FROM v, c),
+  near AS (SELECT vec_id, arg_min(list, struct_pack(d := d, l := list)) AS list FROM away GROUP BY vec_id)"""
+
+
+def _centroids(t: Tables) -> list[list[float]]:
+    """The first eight vectors."""
+    some = t.embeddings.filter("vec_id < 8").orderBy("vec_id").select(F.col("embedding").cast("array<double>").alias("e"))
+    return [r["e"] for r in some.collect()]
+
+
+@query(f"{_LISTS} SELECT vec_id, list FROM near")
 def vec_ivf_lists(t: Tables):
-    """Each vector lies in one list."""
-    indexed, _ = vector.ivf(t.embeddings, 8)
-    return indexed.agg(F.count(F.when(F.col("list").between(0, 7), 1)).alias("n"))
+    """The list of the nearest of eight given centroids."""
+    return vector.assign(t.embeddings, _centroids(t)).select("vec_id", F.col("list").cast("long").alias("list"))
+
+
+@query(
+    f"""{_LISTS} SELECT vec_id, round({_DISTANCE['euclidean']}, 6) AS distance FROM near JOIN v USING (vec_id), q
+    WHERE list IN (SELECT list FROM away WHERE vec_id = 0 ORDER BY d, list LIMIT 3) ORDER BY 2, 1 LIMIT 10"""
+)
+def vec_ivf_probe(t: Tables):
+    """The nearest in the three lists whose centroids are nearest."""
+    centroids = _centroids(t)
+    out = vector.probe(vector.assign(t.embeddings, centroids), centroids, vector.of_key(t.embeddings, 0), 10, 3)
+    return out.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 # geometry
@@ -186,10 +206,9 @@ def pred_intersects(t: Tables):
 _D = "sqrt(power(greatest(min_x - 0.1::DOUBLE, 0, 0.1::DOUBLE - max_x), 2) + power(greatest(min_y - 0.2::DOUBLE, 0, 0.2::DOUBLE - max_y), 2))"
 
 
-@query(f"WITH {_B} SELECT id, round({_D}, 6) AS distance FROM b ORDER BY round({_D}, 9), id LIMIT 15")
+@query(f"WITH {_B} SELECT id, round({_D}, 6) AS distance FROM b ORDER BY {_D}, id LIMIT 15")
 def geo_nearest(t: Tables):
-    out = boxes(t).select("id", F.round(Box.of().distance(F.lit(0.1), F.lit(0.2)), 9).alias("distance")).orderBy("distance", "id").limit(15)
-    return out.select("id", F.round("distance", 6).alias("distance"))
+    return spatial.nearest(boxes(t), 0.1, 0.2, 15).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_B} SELECT l.id AS left_id, r.id AS right_id FROM b l JOIN b r ON l.id < r.id AND l.min_x <= r.max_x AND l.max_x >= r.min_x AND l.min_y <= r.max_y AND l.max_y >= r.min_y")
@@ -229,36 +248,59 @@ def geo_bounds(t: Tables):
     return spatial.bounds(b, "label").select("label", *(F.round(c, 6).alias(c) for c in spatial.COLUMNS))
 
 
+def _geometry(kind: str, order: str, a: float, b: float, c: float, d: float) -> bytes:
+    """Well-known binary with the corners (a, b) and (c, d)."""
+    head = lambda n: struct.pack(f"{order}BI", order == "<", n)
+    xy = lambda *v: struct.pack(f"{order}{len(v)}d", *v)
+    n = lambda k: struct.pack(f"{order}I", k)
+    if kind == "line":
+        return head(2) + n(2) + xy(a, b, c, d)
+    if kind == "polygon":
+        return head(3) + n(1) + n(5) + xy(a, b, c, b, c, d, a, d, a, b)
+    if kind == "points":
+        return head(4) + n(2) + head(1) + xy(c, d) + head(1) + xy(a, b)
+    return head(7) + n(2) + head(1) + xy(a, d) + head(2) + n(2) + xy(c, b, a, d)
+
+
 @query(f"WITH {_B} SELECT id, round(min_x, 9) AS min_x, round(min_y, 9) AS min_y, round(max_x, 9) AS max_x, round(max_y, 9) AS max_y FROM b")
 def geo_wkb_mbr(t: Tables):
-    """Each box's two corners written as a little-endian line string, and read back as a box."""
+    """Each box's corners written as a line, a polygon, points or a collection, in either byte order, and read back."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("binary")
-    def line(a, b, c, d):
+    def write(i, a, b, c, d):
         import pandas as pd
 
-        return pd.Series([struct.pack("<BII4d", 1, 2, 2, *v) for v in zip(a, b, c, d, strict=True)])
+        kinds = ("line", "polygon", "points", "collection")
+        return pd.Series([_geometry(kinds[v[0] % 4], "<>"[v[0] // 4 % 2], *v[1:]) for v in zip(i, a, b, c, d, strict=True)])
 
-    made = boxes(t).select("id", line(*spatial.COLUMNS).alias("wkb")).select("id", spatial.wkb_boxes(F.col("wkb")).alias("m"))
+    made = boxes(t).select("id", write("id", *spatial.COLUMNS).alias("wkb")).select("id", spatial.wkb_boxes(F.col("wkb")).alias("m"))
     return made.select("id", *(F.round(F.col("m")[c], 9).alias(c) for c in spatial.COLUMNS))
 
 
-@query("SELECT count(*) AS n, count(*) AS cells_ok FROM embeddings")
+@query(
+    f"""WITH RECURSIVE {_B}, g AS (SELECT id, greatest(0, least(255, floor((min_x + 5) / 10 * 255)))::BIGINT AS x, greatest(0, least(255, floor((min_y + 5) / 10 * 255)))::BIGINT AS y FROM b),
+    w AS (SELECT id, 128::BIGINT AS side, x, y, 0::BIGINT AS d FROM g
+      UNION ALL SELECT id, side // 2,
+        CASE WHEN y >= side THEN x % side WHEN x >= side THEN side - 1 - y ELSE y END,
+        CASE WHEN y >= side THEN y % side WHEN x >= side THEN 2 * side - 1 - x ELSE x END,
+        d + side * side * CASE WHEN y >= side THEN CASE WHEN x >= side THEN 2 ELSE 1 END WHEN x >= side THEN 3 ELSE 0 END
+      FROM w WHERE side > 0)
+    SELECT id, max(d) AS h FROM w GROUP BY id"""
+)
 def geo_hilbert(t: Tables):
-    h = boxes(t).select(hilbert(F.col("min_x"), F.col("min_y"), -5.0, 5.0, 8).alias("h"))
-    return h.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("h") >= 0) & (F.col("h") < 65_536)).alias("cells_ok"))
+    """The place of each box's lower corner on the curve; the SQL walks down the quadrants with coordinates."""
+    return boxes(t).select("id", hilbert(F.col("min_x"), F.col("min_y"), -5.0, 5.0, 8).alias("h"))
 
 
 # graphs
 
 def edges(t: Tables):
-    """part -> supplier, labelled by return flag, weighted by quantity."""
-    li = t.lineitem.select((F.col("l_partkey") % 97).alias("src"), F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("edge_id"), F.col("l_returnflag").alias("label"), (F.col("l_suppkey") % 89 + 100).alias("dst"), F.col("l_quantity").alias("weight"))
-    return li
+    """part -> supplier, labelled by return flag, weighted by quantity; suppliers are numbered below parts."""
+    return t.lineitem.select(F.col("l_partkey").alias("src"), F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("edge_id"), F.col("l_returnflag").alias("label"), (-F.col("l_suppkey")).alias("dst"), F.col("l_quantity").alias("weight"))
 
 
-_E = "e AS (SELECT l_partkey % 97 AS src, 'e' || l_orderkey AS edge_id, l_returnflag AS label, l_suppkey % 89 + 100 AS dst, l_quantity AS weight FROM lineitem)"
+_E = "e AS (SELECT l_partkey AS src, 'e' || l_orderkey AS edge_id, l_returnflag AS label, -l_suppkey AS dst, l_quantity AS weight FROM lineitem)"
 
 
 def tree(t: Tables):
@@ -276,9 +318,9 @@ def graph_outgoing(t: Tables):
     return graph.outgoing(edges(t), 5, "R").select("edge_id", "dst", "weight")
 
 
-@query(f"WITH {_E} SELECT edge_id, src, weight FROM e WHERE dst = 105")
+@query(f"WITH {_E} SELECT edge_id, src, weight FROM e WHERE dst = -5")
 def graph_incoming(t: Tables):
-    return graph.incoming(edges(t), 105).select("edge_id", "src", "weight")
+    return graph.incoming(edges(t), -5).select("edge_id", "src", "weight")
 
 
 @query(f"WITH {_E} SELECT dst FROM e WHERE src = 9")
@@ -286,10 +328,10 @@ def graph_neighbors(t: Tables):
     return graph.neighbours(edges(t), 9)
 
 
-@query(f"WITH {_E} SELECT a.range AS src, b.range AS dst, (a.range, b.range) IN (SELECT (src, dst) FROM e) AS found FROM range(0, 97, 9) a, range(100, 200, 9) b")
+@query(f"WITH {_E} SELECT a.range AS src, b.range - 60 AS dst, (a.range, b.range - 60) IN (SELECT (src, dst) FROM e) AS found FROM range(0, 97, 9) a, range(0, 60, 9) b")
 def graph_has_edge(t: Tables):
     s = t.spark
-    pairs = s.range(0, 97, 9).withColumnRenamed("id", "src").crossJoin(s.range(100, 200, 9).withColumnRenamed("id", "dst"))
+    pairs = s.range(0, 97, 9).withColumnRenamed("id", "src").crossJoin(s.range(0, 60, 9).select((F.col("id") - 60).alias("dst")))  # 77 pairs
     return graph.has_edge(edges(t), pairs)
 
 
@@ -340,3 +382,84 @@ def graph_remove_edges(t: Tables):
     return graph.remove(e, e.filter("src = 'n3'")).select("src", "dst")
 
 
+# specialty tables as of an LSN
+
+def _versions(df, key: str):
+    """A change log of df: every row is written at an LSN of its own key, some are deleted later, some of these written again."""
+    k = F.col(key)
+    meta = lambda gone, lsn, seq: (F.lit(gone).alias("is_deleted"), (k % 9).cast("long").alias("txn_id"), lsn.cast("long").alias("commit_lsn"), F.lit(seq).cast("long").alias("seq"))
+    first = df.select("*", *meta(False, k % 50 + 1, 1))
+    gone = df.filter(k % 7 == 0).select("*", *meta(True, k % 50 + 60, 2))
+    again = df.filter(k % 21 == 0).select("*", *meta(False, k % 50 + 120, 3))
+    return first.unionByName(gone).unionByName(again)
+
+
+def _live(key: str, lsn: int) -> str:
+    """What of df is there at an LSN, by the rules of _versions()."""
+    return f"({key} % 50 + 1 <= {lsn} AND NOT ({key} % 7 = 0 AND {key} % 50 + 60 <= {lsn}) OR {key} % 21 = 0 AND {key} % 50 + 120 <= {lsn})"
+
+
+@query(f"{_V} SELECT vec_id, round({_DISTANCE['euclidean']}, 6) AS distance FROM v, q WHERE {_live('vec_id', 90)} ORDER BY 2, 1 LIMIT 10")
+def vec_knn_at(t: Tables):
+    now = vector.visible(_versions(t.embeddings.select("vec_id", "embedding"), "vec_id"), 90)
+    return vector.knn(now, vector.of_key(t.embeddings, 0), 10, "euclidean").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_B} SELECT id FROM b WHERE min_x <= 0.5::DOUBLE AND max_x >= -0.5::DOUBLE AND min_y <= 0.5::DOUBLE AND max_y >= -0.5::DOUBLE AND {_live('id', 130)}")
+def geo_intersects_at(t: Tables):
+    return spatial.hits(spatial.visible(_versions(boxes(t), "id"), 130), (-0.5, -0.5, 0.5, 0.5)).select("id")
+
+
+@query(f"WITH {_B} SELECT id, round({_D}, 6) AS distance FROM b WHERE {_live('id', 30)} ORDER BY {_D}, id LIMIT 15")
+def geo_nearest_at(t: Tables):
+    return spatial.nearest(spatial.visible(_versions(boxes(t), "id"), 30), 0.1, 0.2, 15).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_B} SELECT id, round(min_x, 9) AS min_x FROM b WHERE id % 5 <> 0 UNION ALL SELECT id, round(min_x - 1, 9) FROM b WHERE id % 10 = 0")
+def geo_insert_delete(t: Tables):
+    """Boxes of every fifth key go, half of them come back as lines further left; keys that are not there change nothing."""
+    b = boxes(t)
+    left = spatial.remove(b, b.filter("id % 5 = 0").select("id").unionByName(b.select((F.col("id") + 10**9).alias("id"))))
+    moved = b.filter("id % 10 = 0").select("id", *((F.col(c) - (1 if c.endswith("x") else 0)).alias(c) for c in spatial.COLUMNS))
+    return spatial.insert(left, moved).select("id", F.round("min_x", 9).alias("min_x"))
+
+
+@query(f"WITH {_B} SELECT 'inverted' AS problem, count(*) FILTER (id % 11 = 0 AND max_x > min_x) AS n FROM b UNION ALL SELECT 'no number', count(*) FILTER (id % 13 = 0) FROM b WHERE id % 11 <> 0 UNION ALL SELECT 'repeated key', 0")
+def geo_verify(t: Tables):
+    """Boxes some of which were turned round or lost a corner."""
+    turn, lost = F.col("id") % 11 == 0, (F.col("id") % 13 == 0) & (F.col("id") % 11 != 0)
+    x1, x2 = F.when(turn, F.col("max_x")).otherwise(F.col("min_x")), F.when(turn, F.col("min_x")).when(lost, F.lit(None)).otherwise(F.col("max_x"))
+    return spatial.verify(boxes(t).select("id", x1.alias("min_x"), "min_y", x2.alias("max_x"), "max_y"))
+
+
+@query(f"SELECT o_orderkey AS edge, o_custkey AS dst FROM orders WHERE o_orderpriority = '1-URGENT' AND {_live('o_orderkey', 100)}")
+def graph_outgoing_at(t: Tables):
+    """Edges from priorities to the customers who ordered with them."""
+    o = t.orders.select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderpriority").alias("src"), F.col("o_orderstatus").alias("label"), F.col("o_custkey").alias("dst"), F.col("o_totalprice").alias("weight"))
+    return graph.outgoing(graph.visible(_versions(o, "edge_id"), 100), "1-URGENT").select(F.col("edge_id").alias("edge"), "dst")
+
+
+@query(f"SELECT event_id, epoch_us(ts) AS ts FROM events WHERE event_id % 4 = 1 AND {_live('event_id', 70)} AND epoch_us(ts) >= 1704400000000000 AND epoch_us(ts) < 1705400000000000")
+def ts_scan_at(t: Tables):
+    points = t.events.select((F.col("event_id") % 4).alias("series"), micros("ts").alias("ts"), "event_id")
+    now = timeseries.visible(_versions(points, "event_id"), 70, by="event_id")
+    return timeseries.scan(now, 1_704_400_000_000_000, 1_705_400_000_000_000, 1).select("event_id", "ts")
+
+
+@query(_SCORED.replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {_live('doc_id', 110)})") + " SELECT doc_id, round(score, 6) AS score FROM scored")
+def fts_search_at(t: Tables):
+    now = mvcc.visible(_versions(t.documents.select("doc_id", "text"), "doc_id"), 110, keys=("doc_id",))
+    return fulltext.score(now, QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 'dangling' AS problem, count(*) FILTER (doc_id % 4 = 0 AND n > 0) AS n FROM (SELECT doc_id, len(" + _SIMPLE + ") AS n FROM documents) UNION ALL SELECT 'unindexed', count(*) FILTER (doc_id % 4 <> 0 AND (n = 0 OR doc_id % 9 = 0)) FROM (SELECT doc_id, len(" + _SIMPLE + ") AS n FROM documents) UNION ALL SELECT 'repeated position', 0")
+def fts_verify(t: Tables):
+    """An index of which some documents are gone, and some were never indexed."""
+    d = t.documents
+    post = fulltext.postings(d.filter("doc_id % 4 = 0 OR doc_id % 9 <> 0"))
+    return fulltext.verify(d.filter("doc_id % 4 <> 0"), post)
+
+
+@query(f"WITH {_E} SELECT src AS vertex, count(*) AS edges FROM e GROUP BY src HAVING count(*) > 30")
+def graph_crowded(t: Tables):
+    return graph.Shape(weighted=True, most_edges=30).crowded(edges(t))

@@ -45,7 +45,7 @@ def ts_latest_before(t: Tables):
 def ts_asof(t: Tables):
     p = points(t).select("series", F.col("us").alias("ts"), "event_id", "event_type", "value")
     probes = p.filter("event_type = 'purchase'").select("series", "ts", "event_id")
-    out = ts.asof(probes, p.filter("event_type = 'click'").select("series", "ts", "value"))
+    out = ts.asof(probes, p.filter("event_type = 'click'").select("series", "ts", "value"), size=DAY)
     return out.select("event_id", F.round("asof_value", 6).alias("asof_value"), "asof_ts")
 
 
@@ -130,9 +130,14 @@ def ts_delta_of_delta_decode(t: Tables):
     return ts.undelta_of_delta(coded).select("event_id", F.col("value").cast("long").alias("us"))
 
 
-@query("SELECT event_id, us - coalesce(lag(us) OVER (PARTITION BY user_id ORDER BY us), 0) AS delta, CASE WHEN us - coalesce(lag(us) OVER (PARTITION BY user_id ORDER BY us), 0) >= 0 THEN 2 * (us - coalesce(lag(us) OVER (PARTITION BY user_id ORDER BY us), 0)) END AS zigzag FROM (SELECT event_id, user_id, epoch_us(ts) AS us FROM events)")
+@query(
+    """SELECT event_id, d AS delta, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS zigzag
+    FROM (SELECT event_id, v - coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY ts), 0) AS d FROM (SELECT event_id, user_id, ts, floor(value)::BIGINT AS v FROM events))"""
+)
 def ts_delta_zigzag(t: Tables):
-    return ts.delta(points(t), "us", ts="us").select("event_id", "delta", zigzag(F.col("delta")).alias("zigzag"))
+    """Differences of values, of which about half are negative."""
+    whole = points(t).withColumn("whole", F.floor("value").cast("long"))
+    return ts.delta(whole, "whole", ts="us").select("event_id", "delta", zigzag(F.col("delta")).alias("zigzag"))
 
 
 @query("SELECT event_id, event_id - 500 AS n, CASE WHEN event_id >= 500 THEN 2 * (event_id - 500) ELSE 2 * (500 - event_id) - 1 END AS coded, event_id - 500 AS back FROM events")
@@ -148,9 +153,24 @@ def ts_xor_round_trip(t: Tables):
     return back.join(p.select("series", "us", "event_id"), ["series", "us"]).select("event_id", "value")
 
 
-@query("SELECT count(*) AS points, count(DISTINCT user_id) AS series FROM events")
+_TEXT = """CASE event_id % 5 WHEN 0 THEN n WHEN 1 THEN 'temperature:' || n WHEN 2 THEN '{"value": ' || n || '}' WHEN 3 THEN 'not-a-number' ELSE '{"value":"x","avg":' || n || '}' END"""
+
+
+@query(f"SELECT count(*) AS points, count(DISTINCT user_id) AS series, sum(strlen({_TEXT}))::BIGINT AS bytes FROM (SELECT *, floor(value)::BIGINT::VARCHAR AS n FROM events)")
 def ts_stats(t: Tables):
-    return ts.stats(points(t)).select("points", "series")
+    return ts.stats(points(t), value="text")
+
+
+@query(f"SELECT event_id, value FROM events WHERE user_id = 13 AND epoch_us(ts) = (SELECT min(epoch_us(ts)) FROM events WHERE user_id = 13 AND epoch_us(ts) >= {START})")
+def ts_get(t: Tables):
+    p = points(t)
+    at = p.filter((F.col("series") == 13) & (F.col("us") >= START)).agg(F.min("us").alias("m")).scalar()
+    return ts.get(p, at, 13, ts="us").select("event_id", "value")
+
+
+@query("SELECT user_id AS series, epoch_us(ts) // 3600000000 AS bucket, count(*) AS points FROM events GROUP BY ALL")
+def ts_bucket_points(t: Tables):
+    return ts.bucket_points(points(t), 3_600_000_000, ts="us")
 
 
 @query(f"SELECT event_id, {PARSED} AS number FROM events")

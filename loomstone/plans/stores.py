@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstone.operators import kv, mvcc
+from loomstone.functions.checksums import digest, intact
+from loomstone.operators import kv, maintenance, mvcc
 from loomstone.operators.graph import on_cycles
-from loomstone.operators.membership import Bloom, Composite, expected_fpr, hashes_for
+from loomstone.operators.membership import Bloom, Composite, Member, expected_fpr, hashes_for
 from loomstone.plans.predicates import compile_predicate, p
 from loomstone.plans.registry import Tables, query
 from loomstone.sources import append_log
@@ -61,9 +62,10 @@ def kv_last_entries(t: Tables):
     return kv.scan(rows(t), reverse=True, first=50)
 
 
-@query(f"{WITH} SELECT min(key) AS first_key, max(key) AS last_key, count(*) AS n FROM kv")
+@query(f"{WITH} (SELECT 'first' AS place, key, value FROM kv ORDER BY key LIMIT 1) UNION ALL (SELECT 'last', key, value FROM kv ORDER BY key DESC LIMIT 1)")
 def kv_first_last(t: Tables):
-    return rows(t).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("n"))
+    one, two = kv.scan(rows(t), first=1), kv.scan(rows(t), reverse=True, first=1)
+    return one.select(F.lit("first").alias("place"), "key", "value").unionByName(two.select(F.lit("last").alias("place"), "key", "value"))
 
 
 @query(f"{WITH} SELECT key, value FROM kv WHERE key >= '0000000005x' ORDER BY key LIMIT 1")
@@ -138,6 +140,11 @@ def kv_range_delete(t: Tables):
     return kv.range_delete(rows(t), A, B)
 
 
+@query(f"{WITH} SELECT count(*) AS deleted FROM kv WHERE key > '{A}' AND key <= '{B}'")
+def kv_range_count(t: Tables):
+    return kv.range_count(rows(t), A, B, low_open=True, high_open=False)
+
+
 def _ops(t: Tables):
     """Puts, then deletes of some of them, then puts again of a few; merges do nothing."""
     k = keyed(t)
@@ -146,9 +153,13 @@ def _ops(t: Tables):
     return part("k % 4 = 0", "put", 0, F.lit("v1")).unionByName(part("k % 8 = 0", "delete", 10**9, none)).unionByName(part("k % 16 = 0", "put", 2 * 10**9, F.lit("v2"))).unionByName(part("k % 9 = 0", "merge", 3 * 10**9, F.lit("m")))
 
 
-@query(f"{WITH} SELECT key, CASE WHEN k % 16 = 0 THEN 'v2' WHEN k % 4 = 0 THEN 'v1' ELSE value END AS value FROM kv WHERE k % 8 <> 0 OR k % 16 = 0")
+@query(
+    f"""{WITH} SELECT key, CASE WHEN k % 16 = 0 THEN 'v2' WHEN k % 4 = 0 THEN 'v1' ELSE value END AS value FROM kv
+    WHERE (k % 8 <> 0 OR k % 16 = 0) AND NOT (key >= '{A}' AND key < '{B}' AND k % 16 <> 0)"""
+)
 def kv_batch_apply(t: Tables):
-    return kv.apply_batch(rows(t), _ops(t).filter("op <> 'merge'"))
+    """All operations, and a range delete after the deletes and before the last puts."""
+    return kv.apply_batch(rows(t), _ops(t).unionByName(t.spark.sql(f"SELECT '{A}' AS key, 'range_delete' AS op, 1500000000L AS seq, '{B}' AS value")))
 
 
 @query(
@@ -206,8 +217,6 @@ _PREDICATES = {
     "range": (p("range", "l_quantity", 10.0, 20.0, True, False), "l_quantity >= 10 AND l_quantity < 20"),
     "range_open": (p("range", "l_quantity", None, 5.0, True, True), "l_quantity <= 5"),
     "prefix": (p("prefix", "l_linestatus", "O"), "l_linestatus LIKE 'O%'"),
-    "is_null": (p("is_null", "l_tax"), "l_tax IS NULL"),
-    "is_not_null": (p("is_not_null", "l_tax"), "l_tax IS NOT NULL"),
     "in": (p("in", "l_linenumber", (1, 3)), "l_linenumber IN (1, 3)"),
     "between": (p("between", "l_discount", 0.02, 0.04), "l_discount BETWEEN 0.02::DOUBLE AND 0.04::DOUBLE"),
     "and": (p("and", p("eq", "l_returnflag", "A"), p("range", "l_quantity", 40.0, None, True, True)), "l_returnflag = 'A' AND l_quantity >= 40"),
@@ -221,6 +230,15 @@ for _name, (_p, _where) in _PREDICATES.items():
         return t.lineitem.filter(compile_predicate(x)).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+_NOTED = "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END AS note FROM lineitem) WHERE "
+for _name in ("is_null", "is_not_null"):
+
+    @query(_NOTED + f"note {_name.upper().replace('_', ' ')}", name=f"pred_{_name}")
+    def _predicate_of_null(t: Tables, op=_name):
+        noted = t.lineitem.withColumn("note", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag")))
+        return noted.filter(compile_predicate(p(op, "note"))).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 _TOKEN = "list_contains(list_transform(string_split_regex(trim(text), '\\s+'), lambda w: lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'))), 'licensed')"
 
 
@@ -260,8 +278,8 @@ def bloom_fpr(t: Tables):
 
 def _composite(t: Tables) -> tuple[Composite, object]:
     primary = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    buyers = t.orders.select(F.col("o_custkey").alias("key")).distinct()
-    rich = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
+    buyers = Member.of(t.orders.select(F.col("o_custkey").alias("key")).distinct(), 100_000)
+    rich = Member.of(t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("key")), 100_000)
     keys = t.customer.select(F.col("c_custkey").alias("key")).unionByName(t.customer.select((F.col("c_custkey") + 10**9).alias("key")))
     return Composite(primary, before=[buyers], after=[rich]), keys
 
@@ -363,14 +381,16 @@ def mvcc_rollback(t: Tables):
 
 
 def _locks(t: Tables):
+    """Orders as transactions on rows of two tables, each of which begins a little after the one before it on its row."""
     k = F.col("o_orderkey")
-    return t.orders.select((k % 3).alias("table_id"), (k % 400).alias("key"), k.alias("txn_id"), ((k * 37) % 5000).alias("start"), ((k * 37) % 5000 + k % 60).alias("finish"))
+    start = F.call_function("div", k, F.lit(100)) * 20 + k % 7
+    return t.orders.select((k % 2).alias("table_id"), (k % 100).alias("key"), k.alias("txn_id"), start.alias("start"), (start + 5 + k % 61).alias("finish"))
 
 
 @query(
-    """WITH l AS (SELECT o_orderkey % 3 AS table_id, o_orderkey % 400 AS key, o_orderkey AS txn_id, (o_orderkey * 37) % 5000 AS start, (o_orderkey * 37) % 5000 + o_orderkey % 60 AS finish FROM orders),
-    h AS (SELECT *, max(struct_pack(f := finish, t := txn_id)) OVER (PARTITION BY table_id, key ORDER BY start, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM l)
-    SELECT table_id, key, held.t AS holder, txn_id AS loser FROM h WHERE held.f > start"""
+    """WITH l AS (SELECT o_orderkey % 2 AS table_id, o_orderkey % 100 AS key, o_orderkey AS txn_id, (o_orderkey // 100) * 20 + o_orderkey % 7 AS start, (o_orderkey // 100) * 20 + o_orderkey % 7 + 5 + o_orderkey % 61 AS finish FROM orders)
+    SELECT a.table_id, a.key, arg_max(b.txn_id, struct_pack(f := b.finish, t := b.txn_id)) AS holder, a.txn_id AS loser
+    FROM l a JOIN l b ON a.table_id = b.table_id AND a.key = b.key AND (b.start < a.start OR b.start = a.start AND b.txn_id < a.txn_id) AND b.finish > a.start GROUP BY ALL"""
 )
 def txn_write_conflicts(t: Tables):
     return mvcc.write_conflicts(_locks(t))
@@ -387,12 +407,14 @@ def txn_rw_conflicts(t: Tables):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey % 40 AS src, (s_suppkey * 7 + 3) % 40 AS dst FROM supplier WHERE s_suppkey % 5 <> 0), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
-    SELECT src AS vertex FROM r WHERE src = dst"""
+    """WITH RECURSIVE e AS (SELECT s_suppkey AS src, CASE WHEN s_suppkey % 5 < 4 THEN s_suppkey + 1 WHEN (s_suppkey // 5) % 2 = 0 THEN s_suppkey - 4 ELSE s_suppkey + 1 END AS dst FROM supplier),
+    r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src AS vertex FROM r WHERE src = dst"""
 )
 def txn_deadlock_cycles(t: Tables):
+    """Suppliers who wait for the next one, in blocks of five; the last of every other block waits for its first."""
     k = F.col("s_suppkey")
-    return on_cycles(t.supplier.filter("s_suppkey % 5 <> 0").select((k % 40).alias("src"), ((k * 7 + 3) % 40).alias("dst")))
+    back = F.when(F.call_function("div", k, F.lit(5)) % 2 == 0, k - 4).otherwise(k + 1)
+    return on_cycles(t.supplier.select(k.alias("src"), F.when(k % 5 < 4, k + 1).otherwise(back).alias("dst")))
 
 
 def _wal(t: Tables):
@@ -439,3 +461,66 @@ def log_retention_age(t: Tables):
 @query("SELECT (o_orderkey % 3000)::varchar AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1 HAVING max(o_orderkey) % 13 <> 0")
 def log_state(t: Tables):
     return append_log.state(_entries(t))
+
+
+@query(f"WITH {LOG} SELECT 'repeated seq' AS problem, count(*) AS n FROM (SELECT key, seq FROM log GROUP BY key, seq HAVING count(*) > 1) UNION ALL SELECT 'no seq', 0 UNION ALL SELECT 'no transaction', 0")
+def verify_log(t: Tables):
+    return mvcc.verify(change_log(t))
+
+
+@query("SELECT (o_orderkey % 3000)::varchar AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders WHERE o_orderkey <= 9000 GROUP BY 1 HAVING max(o_orderkey) % 13 <> 0")
+def log_state_at(t: Tables):
+    return append_log.state_at(_entries(t), 9000)
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 AND c_custkey % 6 <> 0 AS held FROM customer")
+def bloom_rollback(t: Tables):
+    """Keys that were inserted and taken back are not held, though their bits are set."""
+    members = t.customer.filter("c_custkey % 3 = 0")
+    bloom = Bloom.build(members, "c_custkey", 20_000).roll_back(t.customer.filter("c_custkey % 6 = 0"), "c_custkey")
+    held = members.select(F.col("c_custkey").alias("_m"))
+    asked = bloom.probe(t.customer.select("c_custkey"), "c_custkey", "held")
+    # what the filter lets through by chance is settled by the members
+    return asked.join(held, asked["c_custkey"] == held["_m"], "left").select("c_custkey", (F.col("held") & F.col("_m").isNotNull()).alias("held"))
+
+
+@query("SELECT 'outside' AS problem, 0::BIGINT AS n UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'bare', 0")
+def bloom_verify(t: Tables):
+    return Bloom.build(t.customer, "c_custkey", 20_000).verify()
+
+
+@query(
+    """SELECT lpad(o_orderkey::varchar, 12, '0') AS key, CASE WHEN o_orderkey % 10 <> 0 THEN 'nothing' WHEN o_orderkey % 20 = 0 THEN 'tombstone' ELSE 'value' END AS said FROM orders"""
+)
+def lsm_run_holds(t: Tables):
+    k = keyed(t)
+    return kv.run_holds(k.select("key"), k.filter("k % 10 = 0").select("key", "value", (F.col("k") % 20 == 0).alias("is_deleted")))
+
+
+@query("SELECT o_orderkey // 1000 AS file FROM orders GROUP BY 1 HAVING max(o_orderkey) >= 2500 AND min(o_orderkey) <= 7200")
+def lsm_overlapping_files(t: Tables):
+    files = t.orders.groupBy(F.call_function("div", F.col("o_orderkey"), F.lit(1000)).alias("file")).agg(F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key"))
+    return kv.overlapping(files, 2500, 7200).select("file")
+
+
+@query("SELECT 'dangling' AS problem, count(*) FILTER (c_custkey % 11 = 0) AS n FROM customer UNION ALL SELECT 'missing', count(*) FILTER (c_custkey % 13 = 0) FROM customer")
+def verify_index(t: Tables):
+    """An index that lacks some rows and still names others that are gone."""
+    c = t.customer
+    index = kv.index_of(c.filter("c_custkey % 13 <> 0"), F.col("c_mktsegment"), "c_custkey")
+    old = kv.index_of(c.filter("c_custkey % 11 = 0").withColumn("c_custkey", -F.col("c_custkey") - 1), F.col("c_mktsegment"), "c_custkey")
+    return maintenance.index_problems(index.unionByName(old), c, "c_custkey")
+
+
+@query("SELECT sum(l_extendedprice::BIGINT)::BIGINT AS flushed, (sum(l_extendedprice::BIGINT) FILTER (l_linenumber > 2))::BIGINT AS compacted, round(1 + (sum(l_extendedprice::BIGINT) FILTER (l_linenumber > 2))::DOUBLE / sum(l_extendedprice::BIGINT), 6) AS ratio FROM (SELECT l_linenumber, round(l_extendedprice) AS l_extendedprice FROM lineitem)")
+def stats_write_amplification(t: Tables):
+    files = t.lineitem.select(F.round("l_extendedprice").cast("long").alias("bytes"), "l_linenumber")
+    return maintenance.write_amplification(files, files.filter("l_linenumber > 2"))
+
+
+@query("SELECT o_orderkey, sha256(o_orderpriority) AS digest, o_orderkey % 7 <> 0 AS intact FROM orders")
+def fn_checksums(t: Tables):
+    """Digests of values, some of which have changed since."""
+    stored = t.orders.select("o_orderkey", F.encode("o_orderpriority", "UTF-8").alias("v")).withColumn("digest", digest(F.col("v")))
+    now = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.col("v"), F.lit("!").cast("binary"))).otherwise(F.col("v"))
+    return stored.select("o_orderkey", "digest", intact(now, F.col("digest")).alias("intact"))

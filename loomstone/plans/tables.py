@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.operators import maintenance
 from loomstone.plans.registry import Tables, query
-from loomstone.sources import catalog
+from loomstone.sources import catalog, shared
+from loomstone.sources.tables import micros
 from loomstone.streaming import windows
 
 Q1 = """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_discount, count(*) AS n
@@ -40,9 +39,10 @@ def rel_semi_join(t: Tables):
     return t.customer.join(t.orders.filter("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000 AND o_orderstatus = 'F')")
 def rel_anti_join(t: Tables):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    large = t.orders.filter("o_totalprice > 300000 AND o_orderstatus = 'F'")
+    return t.customer.join(large, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT n_name, s_name FROM nation FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 9000) s ON n_nationkey = s_nationkey")
@@ -127,20 +127,81 @@ def stats_histogram(t: Tables):
     return maintenance.histogram(t.orders, "o_totalprice", 50_000.0)
 
 
-@query()
+_EVERY = ", ".join(f"('{c}')" for c in sorted({c for v in catalog.CAPABILITIES.values() for c in v}))
+_HAVE = ", ".join(f"('{k}', '{c}')" for k, v in catalog.CAPABILITIES.items() for c in v)
+
+
+@query(f"WITH have(kind, capability) AS (VALUES {_HAVE}), every(capability) AS (VALUES {_EVERY}) SELECT k.kind, every.capability, (k.kind, every.capability) IN (SELECT (kind, capability) FROM have) AS supported FROM (SELECT DISTINCT kind FROM have) k, every")
 def capabilities(t: Tables):
     return catalog.capabilities(t.spark)
 
 
+@query("SELECT count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 4) AS mean FROM orders")
+def stats_distribution(t: Tables):
+    return maintenance.distribution(t.orders, "o_totalprice").select("n", "low", "high", F.round("mean", 4).alias("mean"))
+
+
+@query("SELECT o_custkey, o_total, n FROM (SELECT o_custkey, round(sum(o_totalprice), 2) AS o_total, count(*) AS n FROM orders GROUP BY o_custkey) WHERE o_total > (SELECT 2 * avg(s) FROM (SELECT sum(o_totalprice) AS s FROM orders GROUP BY o_custkey))")
+def rel_subquery(t: Tables):
+    """A scalar subquery over an aggregate, by a view that only this session sees."""
+    each = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n"))
+    twice = each.agg((2 * F.avg("s")).alias("m")).scalar()
+    return each.filter(F.round("s", 2) > twice).select("o_custkey", F.round("s", 2).alias("o_total"), "n")
+
+
 # streams
 
-@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE epoch_us(ts) < 1706400000000000 GROUP BY ALL")
-def stream_tumbling(t: Tables):
-    """The same windows as a batch gives, from a file stream that ends; open windows are dropped by the filter."""
-    folder = tempfile.mkdtemp(prefix="loomstone-")
+LATE = "400 days"  # batches of files come in any order here, so no event may be too late
+
+
+def _stream(t: Tables):
     log = windows.read_log(t.spark, t.folder, t.events.schema, "events.parquet")
-    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = windows.run_once(windows.tumbling(log, "1 day", "0 seconds", by=("event_type",)), "loomstone_tumbling", f"{folder}/c", "complete")
-    from loomstone.sources.tables import micros
+    return log.withColumn("ts", F.col("ts").cast("timestamp"))
+
 
-    return out.select(micros("window_start").alias("day"), "event_type", "n", F.round("total", 4).alias("total")).filter("day < 1706400000000000")
+def _paths(t: Tables, name: str) -> tuple[str, str]:
+    at = shared.fresh(t.spark, name)
+    return f"{at}/out", f"{at}/state"
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(t: Tables):
+    """The same windows as a batch gives, from a file stream that ends: every changed window is written, the last row of each counts."""
+    stream = windows.tumbling(_stream(t), "1 day", LATE, by=("event_type",))
+    out = windows.run_updates(stream, *_paths(t, "tumbling"), ("window_start", "event_type"))
+    return out.select(micros("window_start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """SELECT epoch_us(d) - k * 43200000000 AS start_us, count(*) AS n, round(sum(value), 4) AS total
+    FROM (SELECT time_bucket(INTERVAL 12 HOUR, ts) AS d, value FROM events), (VALUES (0), (1)) s(k) GROUP BY ALL"""
+)
+def stream_sliding(t: Tables):
+    out = windows.run_updates(windows.sliding(_stream(t), "1 day", "12 hours", LATE), *_paths(t, "sliding"), ("window_start", "window_end"))
+    return out.select(micros("window_start").alias("start_us"), "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def stream_sessions(t: Tables):
+    out = windows.run_complete(windows.sessions(_stream(t), "6 hours", LATE, "user_id"), *_paths(t, "sessions"))
+    return out.select("user_id", micros("session_start").alias("start_us"), micros("session_end").alias("end_us"), "n")
+
+
+@query("SELECT event_type, user_id FROM events GROUP BY ALL")
+def stream_distinct(t: Tables):
+    """Each pair of type and user once, however often it comes."""
+    seen = _stream(t).select("event_type", "user_id", "ts", F.concat_ws("/", "event_type", "user_id").alias("pair"))
+    out, state = _paths(t, "distinct")
+    windows.run_to(windows.distinct_events(seen, "pair", LATE), out, state)
+    return t.spark.read.parquet(out).select("event_type", "user_id")
+
+
+@query("SELECT user_id, max(epoch_us(ts)) AS last_us, round(arg_max(value, ts), 6) AS last_value FROM events GROUP BY user_id")
+def stream_last_value(t: Tables):
+    """The newest point of each user, kept as state by a function of our own."""
+    out = windows.run_updates(windows.running_last(_stream(t), "user_id"), *_paths(t, "last"), ("user_id",))
+    return out.select("user_id", "last_us", F.round("last_value", 6).alias("last_value"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Record kinds and write operations.
@@ -20,19 +22,43 @@ OPERATIONS = (
 SCHEMA = "lsn long, txn_id long, kind string, table_id int, op string, key string, value string"
 
 
+class Locked(RuntimeError):
+    """Another writer has the log."""
+
+
 @dataclass
 class Wal:
     spark: SparkSession
     path: str
     next_lsn: int = 1
 
+    def _lock(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_writer")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def close(self) -> None:
+        """Lets another writer have the log."""
+        fs, path = self._lock()
+        fs.delete(path, False)
+        self.next_lsn = 0
+
     @staticmethod
-    def open(spark: SparkSession, path: str) -> Wal:
-        """A log that continues after the last record found."""
+    def open(spark: SparkSession, path: str, take_over: bool = False) -> Wal:
+        """A log that continues after the last record found. One writer has it until close(); take_over: of a
+        writer that is known to have died."""
         log = Wal(spark, path)
+        fs, lock = log._lock()
+        if take_over:
+            fs.delete(lock, False)
+        try:
+            fs.create(lock, False).close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                raise Locked(path) from None
+            raise
         try:
             last = log.records().agg(F.max("lsn")).first()[0]
-        except Exception as e:  # a folder that does not exist yet
+        except AnalysisException as e:  # a folder that does not exist yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             last = None
@@ -43,6 +69,8 @@ class Wal:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def _mark(self, txn_id: int | None, kind: str) -> int:
+        if not self.next_lsn:
+            raise Locked("the log was closed")
         lsn = self.next_lsn
         self.spark.createDataFrame([(lsn, txn_id, kind, None, None, None, None)], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
         self.next_lsn += 1
@@ -63,17 +91,25 @@ class Wal:
     def checkpoint(self) -> int:
         return self._mark(None, "checkpoint")
 
-    def write(self, txn_id: int, table_id: int, op: str, rows: DataFrame, count: int) -> int:
-        """Appends `count` rows (n, key, value), n from 0 without gaps; gives the first LSN."""
+    def write(self, txn_id: int, table_id: int, op: str, rows: DataFrame) -> int:
+        """Appends rows (n, key, value), n from 0 without gaps; gives the first LSN. The rows are counted while they
+        are written, and the log goes on after the largest n."""
         if op not in OPERATIONS:
             raise ValueError(f"unknown operation {op}")
+        if not self.next_lsn:
+            raise Locked("the log was closed")
         first = self.next_lsn
         out = rows.select(
             (F.col("n") + first).cast("long").alias("lsn"), F.lit(txn_id).cast("long").alias("txn_id"), F.lit("write").alias("kind"), F.lit(table_id).cast("int").alias("table_id"),
             F.lit(op).alias("op"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
         )
-        out.write.mode("append").parquet(self.path)
-        self.next_lsn += count
+        seen = Observation()
+        out.observe(seen, F.count(F.lit(1)).alias("n"), F.max("lsn").alias("last")).write.mode("append").parquet(self.path)
+        got = seen.get
+        if got["n"]:
+            self.next_lsn = got["last"] + 1
+            if got["n"] != self.next_lsn - first:
+                raise ValueError("the rows are not numbered from 0 without gaps")
         return first
 
     def truncated(self, lsn: int) -> DataFrame:

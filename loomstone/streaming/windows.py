@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.operators.mvcc import newest
+
 
 def read_log(spark: SparkSession, path: str, schema, names: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
     """A stream of the Parquet files of a folder whose names match."""
@@ -52,6 +54,30 @@ def running_last(events: DataFrame, by: str, ts: str = "ts", value: str = "value
     return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, last_us long, last_value double", "at long, last double", "update", "NoTimeout")
 
 
+def run_updates(df: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...]) -> DataFrame:
+    """All that is there now: each batch writes the windows that it changed as Parquet, under its number, so that a
+    batch that runs again takes its own place; the last row of each window counts."""
+    _each_batch(df, path, checkpoint, "update")
+    return newest(df.sparkSession.read.parquet(path), keys, "batch").drop("batch")
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """As run_updates(), for streams that give all windows in each batch: the last batch counts."""
+    last = _each_batch(df, path, checkpoint, "complete")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={last}")
+
+
+def _each_batch(df: DataFrame, path: str, checkpoint: str, mode: str) -> int:
+    done = [-1]
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done[0] = max(done[0], number)
+
+    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return done[0]
+
+
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that is there now, into a table in memory (tests and small results)."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
