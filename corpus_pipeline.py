@@ -1,4 +1,14 @@
-"""The corpus pipeline: quality classifier, exact dedup, near dedup, redaction, packing."""
+"""The corpus pipeline: quality classifier, exact dedup, near dedup, redaction, packing.
+
+Each stage works on all rows that the one before it kept, and its decisions take effect. Null and empty
+texts are scored like any text without words; equal to each other, one of them is left after exact dedup; the
+near-duplicate stage links them with nothing, redaction leaves them as they are, and packing gives them one
+end id. Rows with a null doc_id go through every stage: they stay unless a document has the same text, or the
+same set of shingles. Of rows equal in doc_id and text one stays; of several texts under one doc_id each is
+judged by itself. Ties go to the smallest doc_id. Texts of any length are read whole. An empty table stays
+empty. Other columns pass through as they came, whatever their names; all but the last stage return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
