@@ -3,8 +3,6 @@ broadcast, and names that can't clash with a caller's columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -13,25 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstone.sources.shared import fresh
 
 ROWS, BYTES = 1000, 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. A local one is made only in local mode, where none is set (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    found = sc.getCheckpointDir()
-    if not found:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomstone-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Jobs started inside read and hand over texts in batches of at most ROWS rows, so that buffers stay small."""
@@ -47,11 +31,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost a reread."""
-    path = f"{shared_dir(df.sparkSession)}/loomstone-{name}-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
+    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost a reread. The
+    table is deleted when the driver ends, as results that are not computed yet may still read it."""
+    spark = df.sparkSession
+    path = fresh(spark, name)
+    with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def docs_of(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds on written tables.
 
-Each round is two aggregations with partial minima and two joins that adaptive execution can split,
-so a node with a third of all links costs no single task its neighbourhood. Rounds grow with the
+Each round is two aggregations with partial minima and two joins. The first, in which a node may have a
+third of all links, is between written tables, so adaptive execution can split it; in the second a node
+meets the few names that came to it. Rounds grow with the
 logarithm of a component's diameter. Nothing is collected but the size and a checksum of the edges.
 """
 
@@ -34,7 +35,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that a node with many links can be split in the join: adaptive execution does not look under an aggregation
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = _linked(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _linked(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")

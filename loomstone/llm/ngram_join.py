@@ -4,21 +4,25 @@
 2. `signatures`: per document the size of its set, a 128-bit key of the set, and its prefix: under one
    global order (sketched count, then hash: rare shingles first) two sets with Jaccard >= t share one
    of the first n - ceil(t n) + 1 shingles. The order decides speed only, so the sketch need not be exact.
-3. Documents with equal sets become one class. Classes that share a prefix shingle, and whose sizes and
-   positions of it allow enough overlap, form candidate groups. Long lists are linked as stars, at once
-   where a batch of documents holds one, so no list's pairs are emitted beyond SHORT for each posting.
-   (A 64-bit class hash serves here: a collision could only join two candidate groups.)
-4. In each candidate group, T-occurrence searches over the inverted lists of whole sets. A search for x
-   returns all sets with Jaccard >= t and those in a wider ring. Jaccard distance is a metric, so what
-   lies outside the ring can't link to a set near x, and sets near x are in x's component at once:
-   they need a search of their own only where the ring is not empty. No link that joins components is lost.
-5. Groups whose sets pass `group_shingles` are dealt in pairs of blocks of bounded size, after rounds in
-   which a leader's set meets all others of its group in a join that can be split.
+3. Documents with equal sets become one class. Classes that share a prefix shingle meet in its list. A list
+   of at most SHORT postings gives the pairs whose sizes and positions allow enough overlap; a longer one
+   is linked as a star, at once where a batch of documents holds it, so no list's pairs are emitted beyond
+   SHORT for each posting. (A 64-bit class hash serves here: a collision could only add candidates.)
+4. Connected candidates of at most `group_shingles` are one group. In it, T-occurrence searches go over the
+   inverted lists of whole sets. A search for x returns all sets with Jaccard >= t and those in a wider
+   ring. Jaccard distance is a metric, so what lies outside the ring can't link to a set near x, and sets
+   near x are in x's component at once: they need a search of their own only where the ring is not empty.
+   No link that joins components is lost.
+5. Candidates of more shingles are not searched as one. What long lists join is a dense group; pairs of
+   short lists outside dense groups are verified query by query. Dense groups above `group_shingles` go
+   through rounds in which a leader's set meets all others, dealt in parts by size, and what is open after
+   that in pairs of blocks of bounded size.
 6. Connected components of the links found.
 
 Null and empty texts have empty sets and link with nothing; fewer words than a shingle make one shingle.
-Ties: the smallest doc_id stands for a class and names a component. Rows with a null doc_id are left out.
-A doc_id that occurs in several rows with different texts counts as one document for each text.
+Ties: the smallest doc_id stands for a class and names a component. A doc_id that occurs in several rows
+with different texts counts as one document for each text. Rows with a null doc_id name no component:
+theirs is that of the documents with the same set, else null.
 """
 
 from __future__ import annotations
@@ -35,10 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec
-from loomstone.llm.common import docs_of, map_batches, slices, written
+from loomstone.llm.common import docs_of, map_batches, pick_rows, slices, small_batches, written
 from loomstone.llm.components import components
 
 SKETCH_BITS = 22
+GROUP_SHINGLES = 200_000  # 1.6 MB of sets: more is searched in parts
+SPLIT = 12
 CHUNK = 1 << 14
 SHORT = 32  # longest list whose pairs are looked at one by one
 HOT, LINK = -2, -1
@@ -93,8 +99,9 @@ def sketch(docs: DataFrame, width: int = 5) -> np.ndarray:
     chunks = (1 << SKETCH_BITS) // CHUNK
     parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros((chunks, CHUNK), dtype=np.int64)
-    for r in parts.collect():  # 256 rows of 128 KB
-        out[r["chunk"]] += np.frombuffer(r["counts"], dtype="<i8")
+    with small_batches(docs.sparkSession):
+        for r in parts.collect():  # 256 rows of 128 KB
+            out[r["chunk"]] += np.frombuffer(r["counts"], dtype="<i8")
     return out.ravel()
 
 
@@ -201,10 +208,11 @@ class Lists:
         return dict(zip(ids[enough].tolist(), total[enough].tolist(), strict=True))
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None = None) -> list[int]:
+def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None = None, queries: np.ndarray | None = None) -> list[int]:
     """The component of each set, as the least position in it, by T-occurrence searches.
 
-    apart: positions known to share a component already carry equal values (or -1).
+    apart: positions known to share a component already carry equal values (or -1). queries: the positions
+    whose links are wanted, instead of all.
     """
     parent = list(range(len(sets)))
 
@@ -228,7 +236,7 @@ def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None
     ring = (max(0, den - 2 * reach), den) if 2 * reach < den else (1, 10**9)
     done: set[int] = set()  # sets whose links all lie in their component already
     idle = 0  # wider searches in a row that settled few other sets
-    for x in range(len(sets)):
+    for x in range(len(sets)) if queries is None else queries.tolist():
         if x in done:
             continue
         wide = idle < 3
@@ -253,8 +261,8 @@ def linked(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None
     return [root(i) for i in range(len(sets))]
 
 
-def _list_links(token: np.ndarray, cls: np.ndarray, meta: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of postings by ascending token. meta: size << 32 | position in the prefix, or HOT.
+def _list_links(token: np.ndarray, cls: np.ndarray, meta: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (u, v, of a star) of postings by ascending token. meta: size << 32 | position in the prefix, or HOT.
 
     A list of at most SHORT postings gives its pairs whose sizes and positions allow enough overlap; a
     longer one, or one that holds a HOT posting, is linked as a star to its first member.
@@ -266,7 +274,7 @@ def _list_links(token: np.ndarray, cls: np.ndarray, meta: np.ndarray, num: int,
     long = (length > SHORT) | (np.minimum.reduceat(meta, start) < 0) if len(start) else np.zeros(0, dtype=bool)
     which = np.repeat(np.arange(len(start)), length)
     star = long[which]
-    us, vs = [cls[star]], [cls[start[which[star]]]]
+    us, vs, kinds = [cls[star]], [cls[start[which[star]]]], [np.ones(int(star.sum()), dtype=np.int64)]
     rest = ~star & (length > 1)[which]
     cls, which, n, at = cls[rest], which[rest], meta[rest] >> 32, meta[rest] & 0xFFFFFFFF
     for k in range(1, min(SHORT, len(cls))):
@@ -276,21 +284,23 @@ def _list_links(token: np.ndarray, cls: np.ndarray, meta: np.ndarray, num: int,
         a, b = same, same + k
         least = -(-num * (n[a] + n[b]) // (num + den))
         ok = (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (1 + np.minimum(n[a] - at[a], n[b] - at[b]) - 1 >= least)
-        us.append(cls[a[ok]])
-        vs.append(cls[b[ok]])
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return u[u != v], v[u != v]
+        us.append(np.minimum(cls[a[ok]], cls[b[ok]]))
+        vs.append(np.maximum(cls[a[ok]], cls[b[ok]]))
+        kinds.append(np.zeros(int(ok.sum()), dtype=np.int64))
+    u, v, of_star = np.concatenate(us), np.concatenate(vs), np.concatenate(kinds)
+    return u[u != v], v[u != v], of_star[u != v]
 
 
 def candidate_links(signed: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) of class hashes: any two classes that can reach num / den are in one component."""
-    names, kind = ["token", "u", "v", "meta"], "token long, u long, v long, meta long"
+    """Links (u, v, star) of class hashes. Any two classes that can reach num / den are a link with star 0,
+    or are joined by links with star 1."""
+    kind = "token long, u long, v long, meta long"
 
-    def rows(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names[: len(columns)] if len(columns) > 2 else ["u", "v"])
+    def rows(names, *columns):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names)
 
     def spread(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.column(1).to_numpy()
             ends = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             token = batch.column(2).flatten().to_numpy(zero_copy_only=False)
@@ -307,28 +317,30 @@ def candidate_links(signed: DataFrame, num: int, den: int) -> DataFrame:
                 u, v = np.unique(np.stack([u, v])[:, u != v], axis=1)
             lead = start[hot]
             yield rows(
-                np.concatenate([token[~mine], token[lead], u]), np.concatenate([cls[~mine], cls[lead], u]),
+                ["token", "u", "v", "meta"], np.concatenate([token[~mine], token[lead], u]), np.concatenate([cls[~mine], cls[lead], u]),
                 np.concatenate([np.zeros((~mine).sum() + len(lead), dtype=np.int64), v]), np.concatenate([meta[~mine], np.full(len(lead), HOT), np.full(len(u), LINK)]),
             )
 
+    names = ["u", "v", "star"]
+
     def gather(batches):
         held = [np.zeros(0, dtype=np.int64)] * 3  # the last token's postings, whose list may go on
         for batch in batches:
             token, u, v, meta = (c.to_numpy() for c in batch.columns)
             link = meta == LINK
-            yield rows(u[link], v[link])
+            yield rows(names, u[link], v[link], np.ones(int(link.sum())))
             token, cls, meta = (np.concatenate([h, x[~link]]) for h, x in zip(held, (token, u, meta), strict=True))
             if len(token):
                 cut = np.searchsorted(token, token[-1])
-                yield rows(*_list_links(token[:cut], cls[:cut], meta[:cut], num, den))
+                yield rows(names, *_list_links(token[:cut], cls[:cut], meta[:cut], num, den))
                 held = [token[cut:], cls[cut:], meta[cut:]]
                 if len(held[0]) > 4 * SHORT:
-                    yield rows(*_list_links(*held, num, den))
+                    yield rows(names, *_list_links(*held, num, den))
                     held = [held[0][:1], held[1][:1], np.array([HOT])]
-        yield rows(*_list_links(*held, num, den))
+        yield rows(names, *_list_links(*held, num, den))
 
-    sent = signed.filter("n > 0").select("class", "n", "prefix").mapInArrow(spread, kind)
-    return sent.repartition("token").sortWithinPartitions("token", "meta", "u").mapInArrow(gather, "u long, v long").distinct()
+    sent = signed.filter("n > 0 AND doc_id IS NOT NULL").select("class", "n", "prefix").mapInArrow(spread, kind)
+    return sent.repartition("token").sortWithinPartitions("token", "meta", "u").mapInArrow(gather, "u long, v long, star long").distinct()
 
 
 def _link_table(reps: list[int], found: list[int]) -> pa.Table:
@@ -350,19 +362,22 @@ def _search_texts(members: DataFrame, num: int, den: int, width: int) -> DataFra
 
 
 def _search_sets(members: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links (u, v) as stars, from rows (keys..., rep, tokens binary, held long: a known component or null)."""
+    """Links (u, v) as stars, from rows (keys..., rep, tokens binary, held long: a known component or null).
+    Of two blocks a and b of a group, the sets of block a (`own`) are searched for."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         sets = [np.frombuffer(b, dtype="<u8") for b in table.column("tokens").to_pylist()]
         held = np.array([-1 if h is None else h for h in table.column("held").to_pylist()], dtype=np.int64)
-        return _link_table(table.column("rep").to_pylist(), linked(sets, num, den, held))
+        asked = np.flatnonzero(table.column("own").to_numpy() == table.column("a").to_numpy()) if "own" in table.column_names else None
+        return _link_table(table.column("rep").to_pylist(), linked(sets, num, den, held, asked))
 
-    return members.groupBy(*keys).applyInArrow(run, "u long, v long")
+    # dealt by all keys: a join on the first of them would leave the parts of a group in one task
+    return members.repartition(*keys).groupBy(*keys).applyInArrow(run, "u long, v long")
 
 
 def _sets_of(members: DataFrame, width: int) -> DataFrame:
-    """(grp, rep, n, held, tokens) from (grp, rep, key, text)."""
+    """(class, rep, n, tokens) from (class, rep, key, text)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -370,24 +385,61 @@ def _sets_of(members: DataFrame, width: int) -> DataFrame:
             mine = [i for i, k in enumerate(batch.column(2).to_pylist()) if set_key(sets[i]) == k]
             kept = batch.take(pa.array(mine, pa.int64()))
             tokens = [sets[i] for i in mine]
-            columns = [*kept.columns[:2], pa.array([len(t) for t in tokens], pa.int64()), pa.nulls(len(mine), pa.int64()), pa.array([t.astype("<u8").tobytes() for t in tokens], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["grp", "rep", "n", "held", "tokens"])
+            columns = [*kept.columns[:2], pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.astype("<u8").tobytes() for t in tokens], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["class", "rep", "n", "tokens"])
 
         return step
 
-    return map_batches(members.select("grp", "rep", "key", "text"), make, "grp long, rep long, n long, held long, tokens binary")
+    return map_batches(members.select("class", "rep", "key", "text"), make, "class long, rep long, n long, tokens binary")
 
 
-def _meet_leaders(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links (u, v) among candidate pairs (u, v) of classes: each u with its candidates is one search.
+
+    A query's set comes first in its run of rows, its candidates after it, a slice at a time; they are at
+    most SHORT for each shingle of its prefix.
+    """
+    whole = sets.select(F.col("class").alias("q"), F.lit(0).alias("side"), "rep", "tokens")
+    asked = whole.join(pairs.select(F.col("u").alias("q")).distinct(), "q", "left_semi")
+    offered = pairs.select(F.col("u").alias("q"), F.col("v").alias("class")).join(sets, "class").select("q", F.lit(1).alias("side"), "rep", "tokens")
+
+    def run(batches):
+        query, mine = None, []  # class, and its (rep, set): more than one where hashes collide
+        for batch in slices(batches):
+            q, side, rep = (batch.column(i).to_numpy() for i in range(3))
+            tokens = batch.column(3).to_pylist()
+            start = np.flatnonzero(np.append([True], (q[1:] != q[:-1]) | (side[1:] != side[:-1])))
+            us, vs = [], []
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(q)], strict=True):
+                if query != q[lo]:
+                    query, mine = q[lo], []
+                sets_ = [np.frombuffer(b, dtype="<u8") for b in tokens[lo:hi]]
+                if side[lo] == 0:
+                    mine += zip(rep[lo:hi].tolist(), sets_, strict=True)
+                    continue
+                for own, x in mine:
+                    for i in Lists([x, *sets_]).search(0, num, den):
+                        if i and rep[lo + i - 1] != own:
+                            us.append(own)
+                            vs.append(int(rep[lo + i - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return asked.unionByName(offered).repartition("q").sortWithinPartitions("q", "side", "rep").mapInArrow(run, "u long, v long")
+
+
+def _meet_leaders(members: DataFrame, num: int, den: int, part_shingles: int) -> tuple[DataFrame, DataFrame]:
     """One round for large groups: (links found, members still open).
 
     The leader of a group is its least set not yet in a component. All sets of the group meet it in one
-    join. Groups where every set is within reach of the leader are settled in one round. Groups without
-    such a set are left as they are: sets held by different leaders may still link.
+    join, dealt in parts of about part_shingles. Groups where every set is within reach of the leader are
+    settled in one round. Groups without such a set are left as they are: sets held by different leaders
+    may still link.
     """
     reach = (den - num) / den
-    loose = members.groupBy("grp").agg(F.min(F.when(F.col("held").isNull(), F.col("rep"))).alias("rep")).filter("rep IS NOT NULL")
-    leader = members.join(loose, ["grp", "rep"]).select("grp", F.col("rep").alias("lead"), F.col("tokens").alias("lead_tokens"))
+    least = F.min(F.when(F.col("held").isNull(), F.col("rep"))).alias("rep")
+    loose = members.groupBy("grp").agg(least, F.ceil(F.sum("n") / part_shingles).cast("int").alias("parts")).filter("rep IS NOT NULL")
+    leader = members.join(loose, ["grp", "rep"]).select("grp", F.col("rep").alias("lead"), F.col("tokens").alias("lead_tokens"), "parts")
+    leader = leader.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -400,7 +452,8 @@ def _meet_leaders(members: DataFrame, num: int, den: int) -> tuple[DataFrame, Da
 
         return step
 
-    met = members.join(leader, "grp").select("grp", "rep", "n", "held", "tokens", "lead", "lead_tokens")
+    dealt = members.join(loose.select("grp", "parts"), "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = dealt.join(leader, ["grp", "part"]).select("grp", "rep", "n", "held", "tokens", "lead", "lead_tokens")
     met = written(map_batches(met, make, "grp long, rep long, n long, held long, tokens binary, lead long, both long, union long"), "met")
     near = F.col("both") * den >= F.col("union") * num
     away = 1 - F.col("both") / F.col("union")
@@ -410,50 +463,82 @@ def _meet_leaders(members: DataFrame, num: int, den: int) -> tuple[DataFrame, Da
     left = left.filter(~near | (away >= F.col("least") - reach - 1e-9))
     held = F.when(near, F.coalesce(F.col("held"), F.col("lead"))).otherwise(F.col("held"))
     left = left.select("grp", "rep", "n", held.alias("held"), "tokens")
-    return links, written(left.unionByName(members.join(loose, "grp", "left_anti")), "left")
+    return links, written(left.unionByName(members.join(loose, "grp", "left_anti").select(*left.columns)), "left")
 
 
-def links_in_large(members: DataFrame, num: int, den: int, group_shingles: int, rounds: int = 3) -> DataFrame:
+def links_in_dense(members: DataFrame, num: int, den: int, group_shingles: int, rounds: int = 3) -> DataFrame:
     """Links (u, v) of members (grp, rep, n, held, tokens): leaders first, then pairs of blocks."""
     large, links = written(members, "members"), []
     for _ in range(rounds):
-        more, large = _meet_leaders(large, num, den)
+        more, large = _meet_leaders(large, num, den, max(1, group_shingles // 8))
         links.append(more)
         if large.isEmpty():
             break
     sizes = large.groupBy("grp").agg(F.sum("n").alias("total"))
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / group_shingles)).cast("int")
+    # SPLIT small blocks for a middling group, blocks of half the bound for a large one
+    blocks = F.greatest(F.ceil(2 * F.col("total") / group_shingles), F.least(F.lit(SPLIT), F.ceil(8 * F.col("total") / group_shingles))).cast("int")
     dealt = large.join(sizes, "grp").withColumn("blocks", blocks)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    out = _search_sets(dealt.drop("total", "blocks", "own", "other"), ["grp", "a", "b"], num, den)
+    out = _search_sets(dealt.drop("total", "blocks", "other"), ["grp", "a", "b"], num, den)
     for more in links:
         out = out.unionByName(more)
     return out
 
 
-def near_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, group_shingles: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links of Jaccard >= num / den)."""
-    docs = docs_of(docs).filter("doc_id IS NOT NULL")
+def links_in_large(sets: DataFrame, candidates: DataFrame, num: int, den: int, group_shingles: int) -> DataFrame:
+    """Links (u, v) of the sets (class, rep, n, tokens) of large groups, along candidates (u, v, star) of
+    classes: pairs query by query, and searches in what stars join."""
+    sets = written(sets, "sets")
+    known = sets.select("class").distinct()
+    inside = written(candidates.join(known, candidates["u"] == known["class"], "left_semi"), "inside")
+    dense = written(components(inside.filter("star = 1").select("u", "v")), "dense")
+    one, two = dense.select(F.col("node").alias("u"), F.col("component").alias("_gu")), dense.select(F.col("node").alias("v"), F.col("component").alias("_gv"))
+    pairs = inside.filter("star = 0").join(one, "u", "left").join(two, "v", "left").filter("_gu IS NULL OR _gv IS NULL OR _gu <> _gv").select("u", "v")
+    members = sets.join(dense.select(F.col("node").alias("class"), F.col("component").alias("grp")), "class").select("grp", "rep", "n", F.lit(None).cast("long").alias("held"), "tokens")
+    totals = written(members.groupBy("grp").agg(F.sum("n").alias("total")), "totals")
+    members = members.join(totals, "grp")
+    links = _verified(written(pairs, "pairs"), sets, num, den)
+    links = links.unionByName(_search_sets(members.filter(F.col("total") <= group_shingles).drop("total"), ["grp"], num, den))
+    if not totals.filter(F.col("total") > group_shingles).isEmpty():
+        links = links.unionByName(links_in_dense(members.filter(F.col("total") > group_shingles).drop("total"), num, den, group_shingles))
+    return links
+
+
+def keyed_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """doc_id, n, key (of the set), component (the least doc_id reachable by links of Jaccard >= num / den)."""
+    docs = docs_of(docs)
     signed = written(signatures(docs, sketch(docs, width), num, den, width), "signed")
-    classes = signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("class").alias("class"), F.first("n").alias("n"))
-    groups = components(candidate_links(signed, num, den)).select(F.col("node").alias("class"), F.col("component").alias("grp"))
-    members = written(classes.join(groups, "class").select("key", "rep", "n", "grp"), "groups")
+    classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("class").alias("class"), F.first("n").alias("n"))
+    candidates = written(candidate_links(signed, num, den), "candidates")
+    groups = components(candidates.select("u", "v")).select(F.col("node").alias("class"), F.col("component").alias("grp"))
+    members = written(classes.join(groups, "class").select("key", "class", "rep", "n", "grp"), "groups")
     totals = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     totals = written(totals.select("grp", "total"), "totals")
-    wanted = members.join(totals, "grp").select("key", "rep", "grp", "total")
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("grp", "rep", "key", "text", "total")
+    wanted = members.join(totals, "grp").select("key", "class", "rep", "grp", "total")
+    # written, as small and large groups are read from it
+    texts = written(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("grp", "class", "rep", "key", "text", "total"), "texts")
     links = _search_texts(texts.filter(F.col("total") <= group_shingles), num, den, width)
     if not totals.filter(F.col("total") > group_shingles).isEmpty():
-        links = links.unionByName(links_in_large(_sets_of(texts.filter(F.col("total") > group_shingles), width), num, den, group_shingles))
+        links = links.unionByName(links_in_large(_sets_of(texts.filter(F.col("total") > group_shingles), width), candidates, num, den, group_shingles))
     found = components(links).withColumnRenamed("node", "rep")
     named = classes.join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc_id", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n", "key", F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def near_components(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id, for every row of docs; how: as for keyed_components()."""
+    return keyed_components(docs, **how).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; all columns as they came."""
-    ids = near_components(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+def drop_near(docs: DataFrame, width: int = 5, **how) -> DataFrame:
+    """docs with one document of each component, all columns as they came: the one with the least doc_id
+    and, where this id has several texts in the component, the least set key; of repeated rows one. Rows
+    without words stay, and so do rows with a null doc_id whose set no document has."""
+    found = written(keyed_components(docs, width=width, **how), "near")
+    first = found.filter("n > 0 AND doc_id = component").groupBy("component").agg(F.min("key").alias("key"))
+    stay = first.select(F.col("component").alias("kept_id"), F.col("key").alias("kept_key"), F.lit(True).alias("one"))
+    bare = found.filter("n = 0 OR (doc_id IS NULL AND component IS NULL)").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.lit(False).alias("one"))
+    return pick_rows(docs, found, stay.unionByName(bare.distinct()), lambda texts: [set_key(s) for s in shingle_sets(texts, width)])

@@ -50,7 +50,7 @@ def corpus(seed=3, bases=6, copies=14):
     return rows
 
 
-@pytest.mark.parametrize("group_shingles", [4_000_000, 1500])
+@pytest.mark.parametrize("group_shingles", [ngram_join.GROUP_SHINGLES, 1500, 40])
 def test_components_equal_brute_force(spark, group_shingles):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, rep string")
@@ -101,7 +101,7 @@ def test_long_lists_and_many_copies(spark):
     rows += [(1000 + i, " ".join(base)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
-    for group_shingles in (4_000_000, 3000):
+    for group_shingles in (ngram_join.GROUP_SHINGLES, 3000, 50):
         assert sorted(map(tuple, ngram_join.near_components(df, group_shingles=group_shingles).collect())) == want
 
 
@@ -123,5 +123,32 @@ def test_chain_whose_open_sets_are_all_held_by_two_leaders(spark):
     want = brute(rows)
     assert [c for _, _, c in want] == [1, 1, 1, 1]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for group_shingles in (4_000_000, 100):
+    for group_shingles in (ngram_join.GROUP_SHINGLES, 100):
         assert sorted(map(tuple, ngram_join.near_components(df, group_shingles=group_shingles).collect())) == want
+
+
+def test_pairs_of_short_lists_are_verified_query_by_query(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(60):  # small groups that rare phrases of others chain to one candidate group
+        base = [f"g{g}_{i}" for i in range(60)] + [f"link{g}_{i}" for i in range(6)] + [f"link{(g + 1) % 60}_{i}" for i in range(6)]
+        for k in range(int(r.integers(1, 5))):
+            w = list(base)
+            for _ in range(k):
+                w[int(r.integers(60))] = f"e{r.integers(10**9)}"
+            rows.append((1000 * g + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for group_shingles in (ngram_join.GROUP_SHINGLES, 300):
+        assert sorted(map(tuple, ngram_join.near_components(df, group_shingles=group_shingles).collect())) == brute(rows)
+
+
+def test_odd_rows(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(None, a, 1), (None, b, 2), (None, b, 3), (5, a, 4), (5, c, 5), (7, c, 6), (7, c, 7), (8, "", 8), (8, "", 9), (8, b + " x", 10), (9, b + " x", 11), (None, None, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int")
+    got = sorted(map(tuple, ngram_join.near_components(df).collect()), key=str)
+    want = [(5, 3, 5), (5, 3, 5), (7, 3, 5), (7, 3, 5), (8, 0, 8), (8, 0, 8), (8, 4, 8), (9, 4, 8), (None, 0, None), (None, 3, 5), (None, 3, None), (None, 3, None)]
+    assert got == sorted(want, key=str)
+    stays = {r["kept_id"] for r in ngram_join.drop_near(df).collect()}
+    # of (5, a) and (5, c), which are apart, component 5 holds both ids; null ids stay unless a document has their set
+    assert {2, 3, 8, 9, 10, 12} <= stays and 1 not in stays and not stays & {6, 7, 11}
