@@ -10,7 +10,7 @@ common direction that its passes would compare as much as all its pairs has all
 a label's vectors have no other order than a common direction is assumed, not measured.
 
 Equal vectors of a label are one class, so copies cost no windows. Range partitions split long runs of
-one hash; each partition hands its last `window` vectors to the next. Links inside a component are then
+one hash; each partition hands its last `window` vectors to the next ones, over as many as the window spans. Links inside a component are then
 counted exactly, in pairs of blocks of bounded size, without emitting pairs. Only a link between
 vectors that no chain of met pairs joins can be missed; tests measure the recall against brute force.
 
@@ -27,13 +27,13 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import map_batches, written
 from loomstone.llm.components import components
 
-BITS, BLOCK = 63, 1024
+BITS, BLOCK, LEAST_BLOCK, SPLIT = 63, 1024, 64, 24
 
 
 def passes_needed(n: int, threshold: float, window: int, recall: float) -> int:
@@ -47,6 +47,21 @@ def planes(dim: int, number: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([20240301, dim, number])).standard_normal((dim, BITS))
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of x with the same row of y (unit vectors): what decides every link."""
+    return np.einsum("ij,ij->i", x, y)
+
+
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y link, as a matrix. A product is rounded otherwise than cosines(), so what
+    lies close to the threshold is decided by that."""
+    about = x @ y.T
+    hit = about >= threshold
+    i, j = np.nonzero(np.abs(about - threshold) < 1e-9)
+    hit[i, j] = cosines(x[i], y[j]) >= threshold
+    return hit
+
+
 def _vectors(df: DataFrame) -> DataFrame:
     """vec_id, label, dim, vec (unit length, float64 bytes), key (of label and vector); vec null where invalid."""
 
@@ -134,9 +149,15 @@ def _spread(classes: DataFrame, base: int) -> DataFrame:
     return classes.select("rep", "label", "dim", "vec", "mean", "passes").mapInArrow(run, "pass int, label string, dim int, hash long, rep long, vec binary")
 
 
+def _blocks(size: Column) -> Column:
+    """Into how many blocks a group of so many vectors falls: SPLIT of them, of LEAST_BLOCK to BLOCK vectors,
+    so that a middling group is many small tasks, and no block is larger than BLOCK."""
+    return F.greatest(F.ceil(size / BLOCK), F.least(F.lit(SPLIT), F.ceil(size / LEAST_BLOCK))).cast("int")
+
+
 def _all_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """Links (u, v) that join all near pairs of a label, from (label, dim, size, rep, vec), in pairs of blocks."""
-    dealt = classes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = classes.withColumn("blocks", _blocks(F.col("size")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", "dim", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "vec")
@@ -148,12 +169,12 @@ def _all_pairs(classes: DataFrame, threshold: float) -> DataFrame:
         u, v = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for k in range(0, len(left), BLOCK):
             some = left[k : k + BLOCK]
-            i, j = np.nonzero(x[some] @ x[right].T >= threshold)
+            i, j = np.nonzero(near(x[some], x[right], threshold))
             i, j = rep[some[i]], rep[right[j]]
             u, v = _forest(np.concatenate([u, i[i != j]]), np.concatenate([v, j[i != j]]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return dealt.groupBy("label", "dim", "a", "b").applyInArrow(run, "u long, v long")
+    return dealt.repartition("label", "dim", "a", "b").groupBy("label", "dim", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def _near(group: np.ndarray, rep: np.ndarray, raw: list[bytes], dims: np.ndarray, window: int, threshold: float, fresh: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +186,7 @@ def _near(group: np.ndarray, rep: np.ndarray, raw: list[bytes], dims: np.ndarray
         for k in range(1, min(window, len(mine) - 1) + 1):
             same = np.flatnonzero((group[mine[k:]] == group[mine[:-k]]) & (mine[k:] >= fresh))
             if len(same):
-                hit = same[np.einsum("ij,ij->i", x[same + k], x[same]) >= threshold]
+                hit = same[cosines(x[same + k], x[same]) >= threshold]
                 us.append(rep[mine[hit + k]])
                 vs.append(rep[mine[hit]])
     none = np.zeros(0, dtype=np.int64)
@@ -198,13 +219,15 @@ _EDGE = "pass int, label string, dim int, hash long, rep long, vec binary"
 
 
 def _windows(ordered: DataFrame, window: int, threshold: float) -> DataFrame:
-    """Links (u, v), and the first and last `window` rows of each partition: (u, v, side, part, rows...)."""
+    """Links (u, v), and the first and last `window` rows of each partition: (u, v, side, part, size, rows...),
+    side 0 for the last rows and 1 for the first; size is that of the partition."""
 
     def run(batches):
-        part, kept, first = TaskContext.get().partitionId(), None, None
+        part, kept, first, size = TaskContext.get().partitionId(), None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
+            size += batch.num_rows
             whole = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
             fresh = whole.num_rows - batch.num_rows
             lists = [whole.column(k).to_pylist() for k in (0, 1, 2)]
@@ -215,40 +238,62 @@ def _windows(ordered: DataFrame, window: int, threshold: float) -> DataFrame:
                 first = more.slice(0, window)
             kept = whole.slice(max(0, whole.num_rows - window))
         if kept is not None:
-            yield edge(kept, 0, part + 1)
-            yield edge(first, 1, part)
+            yield edge(kept, 0, part, size)
+            yield edge(first, 1, part, size)
 
-    names = ["u", "v", "side", "part", "pass", "label", "dim", "hash", "rep", "vec"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["u", "v", "side", "part", "size", "pass", "label", "dim", "hash", "rep", "vec"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def links(u, v):
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), *(pa.nulls(len(u), k) for k in kinds[2:])], names)
 
-    def edge(rows, side, part):
+    def edge(rows, side, part, size):
         n = rows.num_rows
-        own = [c.cast(k) for c, k in zip(rows.columns, kinds[4:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([side] * n, pa.int32()), pa.array([part] * n, pa.int32()), *own], names)
+        own = [c.cast(k) for c, k in zip(rows.columns, kinds[5:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([side] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([size] * n, pa.int64()), *own], names)
+
+    return ordered.mapInArrow(run, "u long, v long, side int, part int, size long, " + _EDGE)
+
 
-    return ordered.mapInArrow(run, "u long, v long, side int, part int, " + _EDGE)
+def meeting_places(sizes: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """(part, later part) for which the last `window` rows of a partition reach into a later one, from the
+    (part, rows) of all partitions that have rows. Windows go over as many small partitions as they must."""
+    found, ordered = [], sorted(sizes)
+    for k, (part, _) in enumerate(ordered):
+        between = 0
+        for later, rows in ordered[k + 1 :]:
+            if between >= window:
+                break
+            found.append((part, later))
+            between += rows
+    return found
 
 
 def _across(edges: DataFrame, window: int, threshold: float) -> DataFrame:
-    """Links between the last rows of a partition and the first of the next: 2 * window rows a group."""
+    """Links between the last rows of partitions and the first of a later one, at most `window` rows apart:
+    at most 2 * window rows are compared in a group."""
+    spark = edges.sparkSession
+    sizes = [(r["part"], r["size"]) for r in edges.groupBy("part").agg(F.max("size").alias("size")).collect()]  # a row for each shuffle partition
+    places = spark.createDataFrame(meeting_places(sizes, window), "part int, at int")
+    last = edges.filter("side = 0").join(places, "part").select("at", "side", "part", "pass", "label", "dim", "hash", "rep", "vec")
+    first = edges.filter("side = 1").select(F.col("part").alias("at"), "side", "part", "pass", "label", "dim", "hash", "rep", "vec")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("side", "pass", "label", "dim", "hash", "rep")])
+        table = table.sort_by([(c, "ascending") for c in ("side", "part", "pass", "label", "dim", "hash", "rep")])
+        before = table.column("side").to_pylist().count(0)
+        table = table.slice(max(0, before - window))
+        fresh = min(before, window)
         lists = [table.column(c).to_pylist() for c in ("pass", "label", "dim")]
-        fresh = table.column("side").to_pylist().count(0)
         u, v = _near(_group_ids(*lists), table.column("rep").to_numpy(), table.column("vec").to_pylist(), table.column("dim").to_numpy(), window, threshold, fresh)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return edges.drop("u", "v").groupBy("part").applyInArrow(run, "u long, v long")
+    return last.unionByName(first).groupBy("at").applyInArrow(run, "u long, v long")
 
 
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(rep, n): vectors linked directly with each, from (component, rep, copies, vec), in pairs of blocks."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    dealt = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
+    sizes = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    dealt = members.join(sizes, "component").withColumn("blocks", _blocks(F.col("_size")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "copies", "vec")
@@ -262,7 +307,7 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
         n = np.zeros(len(raw))
         for k in range(0, len(left), BLOCK):
             some = left[k : k + BLOCK]
-            hit = x[some] @ x[right].T >= threshold
+            hit = near(x[some], x[right], threshold)
             if a == b:
                 hit |= some[:, None] == right[None, :]
                 n[some] += hit @ copies[right] - 1
@@ -271,7 +316,8 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
                 n[right] += hit.T @ copies[some]
         return pa.table({"rep": table.column("rep"), "n": pa.array(np.rint(n).astype(np.int64))})
 
-    return dealt.groupBy("component", "a", "b").applyInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    # dealt by all keys: a join by component would leave the blocks of a component in one task
+    return dealt.repartition("component", "a", "b").groupBy("component", "a", "b").applyInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.93, window: int = 24, recall: float = 0.98) -> DataFrame:
@@ -291,7 +337,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, window: int = 24, recal
     links = met.filter("side IS NULL").select("u", "v").unionByName(_across(met.filter("side IS NOT NULL"), window, threshold))
     links = links.unionByName(_all_pairs(placed.filter("exact"), threshold))
     found = written(components(links), "components").withColumnRenamed("node", "rep")
-    linked = classes.join(found, "rep").select("component", "rep", "copies", "vec")
+    linked = written(classes.join(found, "rep").select("component", "rep", "copies", "vec"), "linked")
     counts = classes.select("key", "rep", "copies").join(found, "rep", "left").join(_count_links(linked, threshold), "rep", "left")
     counts = counts.select("key", F.coalesce("n", F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
     out = rows.select("vec_id", "key").join(counts, "key", "left")

@@ -78,3 +78,42 @@ def test_recall_in_a_label_with_a_common_direction(spark, n, common):
     met = [got[i]["component_id"] == name[i] for i in range(n) if name[i] != i]
     assert len(met) >= 200 and np.mean(met) >= 0.95
     assert all(got[i]["n_links"] <= links[i] for i in range(n))
+
+
+def test_windows_reach_over_small_partitions(spark):
+    r = np.random.default_rng(12)
+    dim, pairs = 64, 150
+    x = r.standard_normal((2 * pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(pairs):  # isolated pairs at or a little above the threshold
+        near = 0.935 if i % 2 else 0.95
+        w = x[pairs + i] - (x[pairs + i] @ x[i]) * x[i]
+        x[pairs + i] = near * x[i] + np.sqrt(1 - near**2) * w / np.linalg.norm(w)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        for parts in ("2", "100"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            found.append(sorted((g["vec_id"], g["n_links"], g["component_id"]) for g in vector_dedup.near_vectors(df).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and sum(n for _, n, _ in found[0]) >= 0.98 * 2 * pairs
+    assert all((n > 0) == (sum(c == d for _, _, d in found[0]) > 1) for _, n, c in found[0])
+
+
+def test_meeting_places():
+    sizes = [(0, 50), (1, 3), (4, 2), (5, 30), (9, 1)]
+    assert vector_dedup.meeting_places(sizes, 24) == [(0, 1), (0, 4), (0, 5), (1, 4), (1, 5), (4, 5), (5, 9)]
+
+
+def test_one_cosine_decides_at_the_threshold():
+    r = np.random.default_rng(13)
+    x = r.standard_normal((200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = (a.ravel() for a in np.meshgrid(np.arange(200), np.arange(200)))
+    every = vector_dedup.cosines(x[i], x[j]).reshape(200, 200).T
+    for threshold in np.sort(every.ravel())[-1000::50]:  # values that occur
+        assert (vector_dedup.near(x, x, threshold) == (every >= threshold)).all()
