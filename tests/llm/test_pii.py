@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+import lines
 from loomstone.llm import pii
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -38,6 +39,58 @@ def test_boosted_trees_on_lines_they_have_not_seen():
     assert y[hit].mean() > 0.97 and hit[y == 1].mean() > 0.85
 
 
+def test_trees_on_lines_written_by_hand():
+    trees = pii.train()
+    for private, clean in ((lines.FIRST_PRIVATE, lines.FIRST_CLEAN), (lines.SECOND_PRIVATE, lines.SECOND_CLEAN)):
+        found = [any(s[2] == kind for s in pii.all_spans(text, trees)[1]) for text, kind in private]
+        assert np.mean(found) >= 0.9, [p for p, ok in zip(private, found, strict=True) if not ok]
+        wrong = [text for text in clean if pii.all_spans(text, trees)[1]]
+        assert len(wrong) <= 1, wrong
+
+
+def test_boosting_equals_a_plain_search_for_splits():
+    """The first tree of one level against all cuts of all features."""
+    r = np.random.default_rng(9)
+    x = np.round(r.standard_normal((200, 3)), 1)
+    y = (x[:, 1] + 0.3 * r.standard_normal(200) > 0.2).astype(float)
+    tree = pii.boost(x, y, rounds=1, depth=1, rate=1.0, ridge=1.0, bins=10_000)
+    p = (y.mean() + 1e-6) / (1 + 2e-6)
+    g, h = p - y, np.full(200, p * (1 - p))
+    best = max((sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (x[:, j] <= c, x[:, j] > c)), j, c) for j in range(3) for c in np.unique(x[:, j])[:-1])
+    j, c = tree.feature[0, 0], tree.cut[0, 0]
+    got = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (x[:, j] <= c, x[:, j] > c))
+    assert j == best[1] == 1 and got >= 0.99 * best[0]
+    left = x[:, j] <= c
+    assert np.allclose(tree.leaf[0], [-g[left].sum() / (h[left].sum() + 1), -g[~left].sum() / (h[~left].sum() + 1)], rtol=1e-3)
+
+
+def test_overlapping_candidates_give_way_to_better_ones():
+    trees = pii.train()
+    r = np.random.default_rng(11)
+    parts = ["password=", "abc123def456ghi", '"', " ", "ssn 219-09-9999", "415-555-0132", "x (at) y (dot) com", "DE89 3704 0044 0532 0130 00", "10.0.0.1", "a@b.co", "é", "\n", ": ", "4111 1111 1111 1111", "commit ", "9f8d7c6b5a4e3d2c1b0a9f8e7d6c5b4a"]
+    for _ in range(300):
+        text = "".join(parts[int(k)] for k in r.integers(0, len(parts), size=int(r.integers(2, 12))))
+        base, every = pii.all_spans(text, trees)
+        offered = pii.candidates(text)
+        score = dict(zip(offered, trees.score(np.array([pii.describe(text, c) for c in offered])).tolist(), strict=True)) if offered else {}
+        taken = list(base)
+        for c in sorted((c for c in offered if score[c] >= trees.threshold[c[2]]), key=lambda c: -score[c]):
+            if all(c[1] <= s or e <= c[0] for s, e, _ in taken):
+                taken.append(c)
+        assert sorted(taken, key=lambda s: (s[0], pii.ORDER[s[2]])) == every, text
+
+
+def test_no_character_of_a_long_secret_stays():
+    trees = pii.train()
+    r = np.random.default_rng(12)
+    for n in (300, 5000, 200_000):
+        key = "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+        for text in (f'password = "{key}" and so on', f"api_key={key}", f"my secret: {key}."):
+            left = pii.redacted(text, pii.all_spans(text, trees)[1])
+            assert len(left) < 60 and not any(key[k : k + 12] in left for k in range(0, n - 12, max(1, n // 500))), (n, left[:80])
+    assert pii.checked("DE89 3704 0044 0532 0130 00") == 1 == pii.checked("GB29NWBK60161331926819")
+
+
 def test_extra_spans_and_redaction():
     trees = pii.train()
     text = 'mail me@x.org, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and +1 (974) 555-3436 commit'
@@ -70,6 +123,9 @@ def test_queries(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     got = sorted(map(tuple, pii.find(df).collect()))
     spans = "email:2:8,ip:9:17"
-    assert got[0] == (1, 1, 1, 0, 0, sha(spans), spans) and got[1:] == [(i, 0, 0, 0, 0, sha(""), "") for i in (2, 3, 3)]
+    assert got[0] == (1, 1, 1, 0, 0, sha(spans), spans, 2) and got[1:] == [(i, 0, 0, 0, 0, sha(""), "", 0) for i in (2, 3, 3)]
+    odd = spark.createDataFrame([(None, "a@b.co", 1, "x"), (4, "", 2, "y")], "doc_id long, text string, n_email int, spans string")
+    assert sorted(map(tuple, pii.redact(odd).collect()), key=str) == [(4, "", 2, "y"), (None, "<EMAIL>", 1, "x")]
+    assert {r["doc_id"]: r["n_email"] for r in pii.find(odd).collect()} == {None: 1, 4: 0}
     assert sorted(map(tuple, pii.redact(df).collect()), key=str)[0] == (1, "é <EMAIL> <IP>", 14)
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
