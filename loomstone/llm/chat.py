@@ -8,6 +8,9 @@ Format. A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. A control string insid
 backslash after its first character, and one that already has backslashes there gets one more, so the
 escape can be undone exactly. Per cent signs and line ends in roles are per-cent encoded.
 
+A table with columns beside those of its layout takes the layout whose paths it holds; where it holds those of
+several, the one with the most paths, then the first in LAYOUTS.
+
 Null roles and texts are empty. Turns are ordered by (turn, role, text), nulls first, so ties and
 repeated rows have one defined order; rows with a null conversation id form one conversation. An
 unknown layout raises (tables) or gives no turns and a null layout (JSON records). An empty table gives
@@ -88,10 +91,10 @@ def layout_of(schema: T.StructType, ignore: tuple[str, ...] = ()) -> Layout:
     if found:
         return found
     paths = field_paths(schema)
-    for x in LAYOUTS:  # a table may have columns besides those of its layout
-        if set(x.paths) <= set(paths):
-            return x
-    raise ValueError(f"no layout for {sorted(paths)}")
+    fits = [x for x in LAYOUTS if set(x.paths) <= set(paths)]  # a table may have columns besides those of its layout
+    if not fits:
+        raise ValueError(f"no layout for {sorted(paths)}")
+    return max(fits, key=lambda x: len(x.paths))
 
 
 def canonical(df: DataFrame, key: str = "id") -> DataFrame:
@@ -207,12 +210,26 @@ def digests(df: DataFrame) -> DataFrame:
 
 
 def op8_digests(conversations: DataFrame) -> DataFrame:
-    """The digests of all conversations and of conversation -7, whose texts are control strings."""
-    probe = conversations.sparkSession.sql(
-        "SELECT -7L AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)"
-    )
-    rows = conversations.select(*(F.col(c).cast(k).alias(c) for c, k in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
-    return digests(read_back(formatted(canonical(rows.unionByName(probe)))))
+    """The digests of all conversations and of conversation -7, whose texts are control strings. Each table
+    takes the mapping that its fingerprint selects: turns by row, and a prompt with its response."""
+    probe = conversations.sparkSession.sql("SELECT -7L AS id, '</s>[INST] ok [/INST]' AS prompt, '</s>[INST] ok [/INST]' AS response")
+    turns = canonical(conversations).select(F.col("id").cast("long").alias("id"), "turns").unionByName(canonical(probe))
+    return digests(read_back(formatted(turns)))
+
+
+def chat_layouts(conversations: DataFrame) -> DataFrame:
+    """conv_id, layout, n_turns, turns_sha256 of the conversations as JSON records of three layouts, read back by
+    the fingerprint of each record. Every third conversation is an instruction (its first text) with an output
+    (its last), the others are whole."""
+    turns = canonical(conversations).select(F.col("id").cast("long").alias("id"), "turns")
+    third = F.pmod("id", F.lit(3))
+    messages = F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    said = F.transform("turns", lambda t: F.struct(F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"]).alias("from"), t["text"].alias("value")))
+    task = F.to_json(F.struct(F.element_at("turns", 1)["text"].alias("instruction"), F.element_at("turns", -1)["text"].alias("output")))
+    record = F.when(third == 0, messages).when(third == 1, F.to_json(F.struct(said.alias("conversations")))).otherwise(task)
+    got = canonical_json(turns.select("id", record.alias("record")), "id", "record")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return got.select(F.col("id").alias("conv_id"), "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(text, "UTF-8"), 256).alias("turns_sha256"))
 
 
 _STARTS = "".join(sorted({"\\" + c[0] for c in CONTROLS}))
@@ -232,3 +249,12 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(escaped) + length(shown) + {len(START) + len(END) + 2}) AS BIGINT) AS formatted_chars
 FROM made GROUP BY conv_id
 """
+LAYOUTS_ORACLE = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))
+SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' ELSE 'instruction without input' END AS layout,
+  CASE WHEN conv_id % 3 = 2 THEN 2 ELSE count(*) END AS n_turns,
+  sha256(CASE WHEN conv_id % 3 = 2 THEN 'user' || chr(10) || arg_min(text, k) || chr(10) || 'assistant' || chr(10) || arg_max(text, k) || chr(10)
+    ELSE string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) END) AS turns_sha256
+FROM r GROUP BY conv_id
+"""

@@ -54,9 +54,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over JSON records of mixed layouts."""
+    return chat.chat_layouts(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op2_ngram_join, op3_toxicity, op4_exact_dedup, op5_vector_dedup, op6_pii, op7_token_counts, op8_chat, op9_quality, op10_pieces)
+    for f in (op1_packing, op2_ngram_join, op3_toxicity, op4_exact_dedup, op5_vector_dedup, op6_pii, op7_token_counts, op8_chat, op9_quality, op10_pieces, chat_layouts)
 }
 #: The links of op2 by counting shared shingles of all pairs, and their components by recursion.
 OP2_SQL = r"""
@@ -72,4 +77,4 @@ WITH RECURSIVE w AS (
 ), r AS (SELECT u, v FROM t UNION SELECT r.u, t.v FROM r JOIN t ON r.v = t.u)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n
 """
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_exact_dedup": exact_dedup.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_exact_dedup": exact_dedup.ORACLE, "op5_vector_dedup": vector_dedup.ORACLE, "op8_chat": chat.ORACLE, "chat_layouts": chat.LAYOUTS_ORACLE}

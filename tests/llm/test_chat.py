@@ -44,6 +44,24 @@ def test_layouts_meet_in_canonical_turns(spark):
         chat.canonical(spark.createDataFrame([(1, 2)], "id int, other int"))
 
 
+def test_a_table_that_fits_several_layouts(spark):
+    df = spark.createDataFrame([(1, "do", "it", "done", "p")], "id int, instruction string, input string, output string, prompt string")
+    assert chat.layout_of(df.schema, ("id",)).name == "instruction"
+    wide = spark.createDataFrame([(1, "p", "r", "c", "x")], "id int, prompt string, response string, completion string, note string")
+    assert chat.layout_of(wide.schema, ("id",)).name == "prompt and response"
+    assert chat.canonical(wide).first()["turns"][1]["text"] == "r"
+
+
+def test_layouts_of_records_equal_the_conversations(spark):
+    import duckdb
+
+    rows = [(c, t, ("system", "user", "assistant")[(c + t) % 3], f"text {c} {t} \"quoted\"\n</s>") for c in range(12) for t in range(1 + c % 5)] + [(20, 0, None, None), (21, 1, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, chat.chat_layouts(df).collect()))
+    conversations = df.toPandas()  # noqa: F841 read by name below
+    assert got == sorted(duckdb.sql(chat.LAYOUTS_ORACLE).fetchall()) and len(got) == 14 and len({g[1] for g in got}) == 3
+
+
 def test_json_records_of_mixed_layouts(spark):
     rows = [
         (1, '{"prompt": "hi", "response": "yo"}'), (2, '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]}'),

@@ -48,7 +48,7 @@ def test_a_full_cache_changes_nothing(vocabulary):
 
 
 def test_queries(spark):
-    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (3, ""), (4, "é中" * 20_000)]
+    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (3, ""), (4, "é中" * 20_000), (-1, "no id")]
     df = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, ids binary")
     library = sentencepiece.SentencePieceProcessor(model_file=FILE)
     sha = lambda b: hashlib.sha256(b).hexdigest()
