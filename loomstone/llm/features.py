@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import textvec
 
+MOST_BYTES = 256 << 10  # of a text that is learnt from
+
 
 def _salt(kind: str, n: int = 1) -> np.uint64:
     return np.uint64((("word", "pair", "again", "head", "tail").index(kind) + 1) * (n + 1) * 0x9E3779B97F4A7C15 % 2**64)
@@ -42,31 +44,34 @@ def _runs(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return hashes[:count][same], row[:count][same]
 
 
-def ngrams(column: pa.Array, bits: int, heads: tuple[int, ...] = (), tails: tuple[int, ...] = (), pairs: bool = True, wanted: np.ndarray | None = None) -> np.ndarray:
-    """row << bits | feature of every n-gram, in no order: words, pairs of words, n-grams of one word over
-    and over (whatever the word), and the first or last bytes of words. wanted: a mask of features."""
+def hashed(column: pa.Array, heads: tuple[int, ...] = (), tails: tuple[int, ...] = (), pairs: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit hash, row) of every n-gram, kind by kind: words, pairs of words, n-grams of one word over and
+    over (whatever the word), and the first or last bytes of words."""
     data, offsets = textvec.column_bytes(column)
     starts, ends, row = textvec.words(data, offsets)
     hashes = textvec.span_hashes(data, starts, ends)
-    found = []
-
-    def add(values: np.ndarray, rows: np.ndarray, salt: np.uint64) -> None:
-        feature = textvec.mix(values + salt) >> np.uint64(64 - bits)
-        if wanted is not None:
-            ok = wanted[feature.astype(np.int64)]
-            feature, rows = feature[ok], rows[ok]
-        found.append(rows.astype(np.uint64) << np.uint64(bits) | feature)
-
-    add(hashes, row, _salt("word"))
+    yield textvec.mix(hashes + _salt("word")), row
     if pairs:
         two, two_row = textvec.grams(hashes, row, 2)
-        add(two, two_row, _salt("pair"))
+        yield textvec.mix(two + _salt("pair")), two_row
         for n in (2, 3, 4, 8, 16):
             run, run_row = _runs(hashes, row, n)
-            add(np.zeros(len(run), dtype=np.uint64), run_row, _salt("again", n))
+            yield textvec.mix(np.zeros(len(run), dtype=np.uint64) + _salt("again", n)), run_row
     for sizes, tail in ((heads, False), (tails, True)):
         for n, h, which in _edges(data, starts, ends, sizes, tail):
-            add(h, row[which], _salt("tail" if tail else "head", n))
+            yield textvec.mix(h + _salt("tail" if tail else "head", n)), row[which]
+
+
+def ngrams(column: pa.Array, bits: int, wanted: np.ndarray | None = None, **kinds) -> np.ndarray:
+    """row << bits | feature of every n-gram of hashed(), in no order; features are the first bits of the
+    hashes. wanted: a mask of features."""
+    found = []
+    for values, rows in hashed(column, **kinds):
+        feature = values >> np.uint64(64 - bits)
+        if wanted is not None:
+            ok = wanted[feature.astype(np.int64)]
+            feature, rows = feature[ok], rows[ok]
+        found.append(rows.astype(np.uint64) << np.uint64(bits) | feature)
     return np.concatenate(found)
 
 
@@ -76,12 +81,6 @@ def indicators(column: pa.Array, bits: int, **kinds) -> tuple[np.ndarray, np.nda
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64)
 
 
-def counted(column: pa.Array, bits: int, **kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count), ascending."""
-    key, count = np.unique(ngrams(column, bits, **kinds), return_counts=True)
-    return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64(2**bits - 1)).astype(np.int64), count
-
-
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -103,11 +102,13 @@ def calibration(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tu
     return float(a), float(b)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> DataFrame:
-    """(doc_id, text, y, weight): at most most[y] rows of each class y, by hash order of doc_id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, text, y, weight): at most most[y] rows of each class y, by hash order of doc_id, and of these
+    the ones whose text has at most most_bytes bytes.
 
     weight restores the classes' shares among all labelled rows. Null labels and labels without a
-    document are left out; a doc_id labelled several times counts once, with its largest label.
+    document are left out; a doc_id labelled several times counts once, with its largest label, and a
+    doc_id with several rows once, with the text of the least hash.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -116,4 +117,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: tuple[in
     weight = [shares.get(y, 0) / max(1, min(most[y], shares.get(y, 0))) for y in (0, 1)]
     # at most sum(most) ids, whatever the size of the corpus
     picked = F.broadcast(picks[0].unionByName(picks[1]))
-    return docs.join(picked, "doc_id").select("doc_id", "text", "y", F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))
+    rows = docs.filter(F.octet_length("text") <= most_bytes).join(picked, "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return rows.select("doc_id", "text", "y", F.when(F.col("y") == 1, weight[1]).otherwise(weight[0]).alias("weight"))

@@ -6,8 +6,11 @@ sample calibrates its margin to a probability. The model is fitted on a bounded
 `per_class` labelled rows of each class, by hash order. Scoring reads every whole text.
 
 Null and empty texts have no indicators: their score is that of margin = bias. With no labelled rows,
-or one class only, every score is the smoothed share of label 1. Repeated rows score alike; an empty
-table gives an empty result; other columns of the input are not read.
+or one class only, every score is the smoothed share of label 1. Repeated rows score alike; rows with a
+null doc_id are scored like others, are in no fold (held_out is null) and never learnt from. Ties: equal
+scores are not ordered; a doc_id labelled several times counts with its largest label, and the sample
+takes rows by (hash of doc_id, doc_id). An empty table gives an empty result; other columns of the input
+are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import ROWS, docs_of, fold, map_batches
+from loomstone.llm.common import docs_of, fold, map_batches, slices
 from loomstone.llm.features import calibration, indicators, labelled_rows, logistic
 
 BITS = 18
@@ -71,6 +74,18 @@ def descend(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, c:
     return w
 
 
+def log_ratios(rows: list[tuple[np.ndarray, int]], dim: int, smooth: float = 1.0) -> np.ndarray:
+    """Each feature's smoothed share of the rows of class 1 over that of class 0, as a logarithm; 0 for
+    features of under LEAST_SEEN rows. rows: (distinct features, label)."""
+    counts, n = np.full((2, dim), smooth), np.zeros(2)
+    for f, label in rows:
+        counts[label, f] += 1
+        n[label] += 1
+    ratio = np.log((counts[1] / (n[1] + 2 * smooth)) / (counts[0] / (n[0] + 2 * smooth)))
+    ratio[counts.sum(0) < 2 * smooth + LEAST_SEEN] = 0
+    return ratio
+
+
 def fit(rows: list[tuple[np.ndarray, int, float]], dim: int = 1 << BITS, smooth: float = 1.0) -> Model:
     """The model of (features, label, weight) rows."""
     y = np.array([r[1] for r in rows])
@@ -81,13 +96,8 @@ def fit(rows: list[tuple[np.ndarray, int, float]], dim: int = 1 << BITS, smooth:
     held = np.arange(len(rows)) % 5 == 4
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    counts = np.full((2, dim), smooth)
-    for (f, label, _), out in zip(rows, held, strict=True):
-        if not out:
-            counts[label, f] += 1
     n = np.array([(y[~held] == k).sum() for k in (0, 1)])
-    ratio = np.log((counts[1] / (n[1] + 2 * smooth)) / (counts[0] / (n[0] + 2 * smooth)))
-    ratio[counts.sum(0) < 2 * smooth + LEAST_SEEN] = 0
+    ratio = log_ratios([r[:2] for r, out in zip(rows, held, strict=True) if not out], dim, smooth)
     model = Model(np.zeros(dim), ratio**2, 0.0, 1.0, 0.0)
     x = []
     for f, _, _ in rows:
@@ -151,9 +161,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
     def run(batches):
         model = shared.value
         at = schema.fieldNames().index("text")
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
-                yield batch.filter(pa.array(model.score(batch.column(at).cast(pa.string())) >= threshold))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.score(batch.column(at).cast(pa.string())) >= threshold))
 
     return docs.mapInArrow(run, schema)
