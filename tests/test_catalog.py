@@ -281,6 +281,22 @@ def test_large_values_and_options(spark, tmp_path):
         Database.create(spark, f"file://{tmp_path}/y", compression="rar")
 
 
+def test_scopes_and_cursors(spark, db):
+    t, b = db.create_table("kv"), db.create_table("b", "bloom")
+    w = db.begin()
+    w.on(t).put(rows(spark, *((k, k.upper()) for k in "ace")))
+    w.on(b).put(spark.createDataFrame([("x",)], "key string"))
+    asked = spark.createDataFrame([("x",), ("y",)], "key string")
+    assert {r["key"]: r["found"] for r in w.on(b).holds(asked).collect()} == {"x": True, "y": False}  # seen by itself before it commits
+    assert not any(r["found"] for r in db.begin().on(b).holds(asked).collect())
+    c = w.cursor(t)
+    assert c.seek("b") and (c.key, c.value) == ("c", "C") and c.next() and c.key == "e" and c.prev() and c.key == "c"
+    w.on(t).delete(rows(spark, ("c", "")))
+    assert w.cursor(t).seek("b") and state(w.on(t).read()) == {"a": "A", "e": "E"}
+    with pytest.raises(InvalidOperation):
+        w.cursor(b)
+
+
 def test_range_deletes_are_counted(spark, db):
     t = db.create_table("kv")
     db.table(t).put(rows(spark, *((k, "v") for k in "abcde")))
