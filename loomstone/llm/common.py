@@ -91,7 +91,7 @@ def pick_rows(docs: DataFrame, rows: DataFrame, stay: DataFrame, key_of: Callabl
     """
     stay = written(stay, "stay")
     once = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("doc_id").alias("kept_id"))
-    plain = stay.join(once, "kept_id", "left_semi").select("kept_id")
+    plain = stay.join(once, "kept_id", "left_semi").select("kept_id").hint("merge")  # ids of about all rows: the same join at every size
     out = docs.join(plain, docs["doc_id"].cast("long") == plain["kept_id"], "left_semi")
     rest = written(stay.join(once, "kept_id", "left_anti"), "repeated")
     if rest.isEmpty():

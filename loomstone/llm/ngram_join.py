@@ -516,7 +516,7 @@ def keyed_components(docs: DataFrame, num: int = 80, den: int = 100, width: int
     members = written(classes.join(groups, "class").select("key", "class", "rep", "n", "grp"), "groups")
     totals = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     totals = written(totals.select("grp", "total"), "totals")
-    wanted = members.join(totals, "grp").select("key", "class", "rep", "grp", "total")
+    wanted = members.join(totals, "grp").select("key", "class", "rep", "grp", "total").hint("merge")
     # written, as small and large groups are read from it
     texts = written(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("grp", "class", "rep", "key", "text", "total"), "texts")
     links = _search_texts(texts.filter(F.col("total") <= group_shingles), num, den, width)
