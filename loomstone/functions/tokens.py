@@ -29,28 +29,53 @@ def simple(text: Column, least: int = MIN_BYTES, stop: tuple[str, ...] = STOP_WO
 ENDINGS = ("tion", "ness", "ment", "able", "ible", "less", "ful")
 
 
-def stem(word: Column) -> Column:
-    """Suffix rules in four stages; lengths are in bytes, as for the tokenisers. The suffixes and the lengths
-    they ask for are fixed values: they define the operator."""
+def _cut(w: Column, n: int) -> Column:
+    return F.left(w, F.char_length(w) - n)
+
+
+def _ends(w: Column, suffix: str, over: int = 0) -> Column:
+    return F.endswith(w, F.lit(suffix)) & (F.octet_length(w) > over)
+
+
+def _voiced(w: Column, n: int) -> Column:
+    return F.when(_cut(w, n).rlike("[aeiou]"), _cut(w, n)).otherwise(w)
+
+
+def _plural(w: Column) -> Column:
+    ies = F.when(F.octet_length(w) > 4, _cut(w, 3)).otherwise(w)
+    return F.when(_ends(w, "sses"), _cut(w, 2)).when(_ends(w, "ies"), ies).when(_ends(w, "s") & ~_ends(w, "ss"), _cut(w, 1)).otherwise(w)
+
 
-    def cut(w: Column, n: int) -> Column:
-        return F.left(w, F.char_length(w) - n)
+def _past(w: Column) -> Column:
+    eed = F.when(F.octet_length(w) > 4, _cut(w, 1)).otherwise(w)
+    return F.when(_ends(w, "eed"), eed).when(_ends(w, "ed", 4), _voiced(w, 2)).when(_ends(w, "ing", 5), _voiced(w, 3)).otherwise(w)
 
-    def ends(w: Column, suffix: str, over: int = 0) -> Column:
-        return F.endswith(w, F.lit(suffix)) & (F.octet_length(w) > over)
 
-    def voiced(w: Column, n: int) -> Column:
-        return F.when(cut(w, n).rlike("[aeiou]"), cut(w, n)).otherwise(w)
+def _final_y(w: Column) -> Column:
+    return F.when(_ends(w, "y", 2) & _cut(w, 1).rlike("[aeiou]"), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
 
-    w = word
-    w = F.when(ends(w, "sses"), cut(w, 2)).when(ends(w, "ies"), F.when(F.octet_length(w) > 4, cut(w, 3)).otherwise(w)).when(ends(w, "s") & ~ends(w, "ss"), cut(w, 1)).otherwise(w)
-    w = F.when(ends(w, "eed"), F.when(F.octet_length(w) > 4, cut(w, 1)).otherwise(w)).when(ends(w, "ed", 4), voiced(w, 2)).when(ends(w, "ing", 5), voiced(w, 3)).otherwise(w)
-    w = F.when(ends(w, "y", 2) & cut(w, 1).rlike("[aeiou]"), F.concat(cut(w, 1), F.lit("i"))).otherwise(w)
+
+def _derived(w: Column) -> Column:
     out = w
     for e in reversed(ENDINGS):
-        out = F.when(ends(w, e, len(e) + 2), cut(w, len(e))).otherwise(out)
+        out = F.when(_ends(w, e, len(e) + 2), _cut(w, len(e))).otherwise(out)
     return out
 
 
+#: The suffixes and the lengths (in bytes, as for the tokenisers) that they ask for are fixed values: they define the operator.
+STAGES = (_plural, _past, _final_y, _derived)
+
+
+def stems(words: Column) -> Column:
+    """Suffix rules in four stages, each over the whole array, so that no stage repeats the expression before it."""
+    for stage in STAGES:
+        words = F.transform(words, stage)
+    return words
+
+
+def stem(word: Column) -> Column:
+    return F.element_at(stems(F.array(word)), 1)
+
+
 def stemming(text: Column, least: int = MIN_BYTES, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    return F.transform(simple(text, least, stop), stem)
+    return stems(simple(text, least, stop))

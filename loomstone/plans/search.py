@@ -87,7 +87,7 @@ def fts_doc_freq(t: Tables):
     return fulltext.document_frequencies(t.documents)
 
 
-@query(f"SELECT doc_id, (i - 1)::BIGINT AS pos FROM (SELECT doc_id, {_SIMPLE} AS tk, unnest(range(1, len(tk) + 1)) AS i FROM documents) WHERE tk[i] = 'licensed'")
+@query(f"WITH t AS MATERIALIZED (SELECT doc_id, {_SIMPLE} AS tk FROM documents), u AS (SELECT doc_id, unnest(tk) AS w, unnest(range(len(tk))) AS pos FROM t) SELECT doc_id, pos FROM u WHERE w = 'licensed'")
 def fts_positions(t: Tables):
     return fulltext.postings(t.documents).filter("term = 'licensed'").select("doc_id", F.col("pos").cast("long").alias("pos"))
 
