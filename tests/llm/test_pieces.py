@@ -48,7 +48,7 @@ def test_a_full_cache_changes_nothing(vocabulary):
 
 
 def test_queries(spark):
-    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (3, ""), (4, "é中" * 20_000), (-1, "no id")]
+    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (3, ""), (4, "é中" * 20_000)]
     df = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, ids binary")
     library = sentencepiece.SentencePieceProcessor(model_file=FILE)
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -62,3 +62,10 @@ def test_queries(spark):
     assert sorted(r["n_tokens"] for r in pieces.token_counts(df, FILE).collect())[:3] == [0, 0, 0]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.encoding_digests(empty, FILE).collect() == [] and pieces.token_counts(empty, FILE).collect() == []
+
+
+def test_rows_without_an_id_and_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "Hello world", 7, b"x"), (None, None, 8, b"y"), (1, "Hello world", 9, b"z")], "doc_id long, text string, n_tokens int, decoded binary")
+    for run in (pieces.encoding_digests, pieces.token_counts):
+        got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in run(df, FILE).collect())
+        assert [g[0] for g in got] == [0, 0, 1] and got[1][1] == got[2][1] > got[0][1]
