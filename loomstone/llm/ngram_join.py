@@ -522,7 +522,8 @@ def keyed_components(docs: DataFrame, num: int = 80, den: int = 100, width: int
     links = _search_texts(texts.filter(F.col("total") <= group_shingles), num, den, width)
     if not totals.filter(F.col("total") > group_shingles).isEmpty():
         links = links.unionByName(links_in_large(_sets_of(texts.filter(F.col("total") > group_shingles), width), candidates, num, den, group_shingles))
-    found = components(links).withColumnRenamed("node", "rep")
+    # merged at every size: a broadcast would leave `named` dealt by key below an aggregation, and a key with many rows could not be split in the last join
+    found = components(links).withColumnRenamed("node", "rep").hint("merge")
     named = classes.join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", "n", "key", F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component"))
