@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from loomstone.functions.boxes import Box, intersects
-from loomstone.operators import mvcc
-from loomstone.sources.shared import checkpointed
+from loomstone.operators import bands, mvcc
 
 COLUMNS = ("min_x", "min_y", "max_x", "max_y")
 
@@ -57,15 +56,8 @@ def _ntile(rank: Column, total: Column, tiles: int) -> Column:
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """df with its place in an order (`rank`, from 0) and the number of rows (`total`), in many tasks: ranges of
-    the order are ranked by themselves, and the rows before each range are added. Only a count for each
-    range is gathered in one task."""
-    parts = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).cast("long").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    inside = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return inside.join(starts, "_part").withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_part", "_before", "_place")
+    """df with its place in an order (`rank`, from 0) and the number of rows (`total`), in many tasks."""
+    return bands.running(df, F.lit(1), *order).withColumn("rank", F.col("running") - 1).drop("running")
 
 
 def str_tiles(df: DataFrame, slices: int, per_slice: int, key: str = "id") -> DataFrame:
