@@ -12,8 +12,11 @@ from pyspark.sql.functions import pandas_udf
 
 from loomstone.functions.boxes import Box, intersects
 from loomstone.operators import bands, mvcc
+from loomstone.sources.shared import checkpointed
 
 COLUMNS = ("min_x", "min_y", "max_x", "max_y")
+#: Of a box join: left and right rows of a block, cuts of a cell into blocks at most, and partitions at most (beyond, blocks share them).
+BLOCKS, MARKS, MOST_PARTITIONS = (1 << 14, 1 << 12), 1024, 10_000
 
 
 def hits(df: DataFrame, box: tuple[float, float, float, float], limit: int | None = None) -> DataFrame:
@@ -27,12 +30,19 @@ def nearest(df: DataFrame, x: float, y: float, k: int, key: str = "id") -> DataF
     return df.select(key, Box.of().distance(F.lit(float(x)), F.lit(float(y))).alias("distance")).orderBy("distance", key).limit(k)
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, lid: str = "id", rid: str = "id") -> DataFrame:
-    """(left_id, right_id) of boxes that meet, by an equi-join on grid cells.
+def box_join(left: DataFrame, right: DataFrame, cell: float, lid: str = "id", rid: str = "id", ordered: bool = False, blocks: tuple[int, int] = BLOCKS) -> DataFrame:
+    """(left_id, right_id) of boxes that meet, by an equi-join on grid cells; of ordered ids, which are
+    numbers then, pairs with left_id < right_id only.
 
     A box is dealt to the cells it covers; a pair is reported only from the cell that holds the lower
     left corner of the common box, so no distinct is needed. Cells should be about as large as boxes.
+
+    Where a cell holds more than a block of either side, both sides are cut into blocks (by a hash, or by id
+    if ordered, so that most pairs of blocks hold no pair or are in order throughout), and any two blocks meet
+    in a task of their own. A task so holds one block of right rows, however many boxes a cell has. Its rows
+    come out by left row and in an order of sizes and places, so columns of ids take few bytes.
     """
+    order = lambda p: F.col(f"{p}id") if ordered else F.xxhash64(*(f"{p}{c}" for c in ("id", *COLUMNS)))
 
     def dealt(df: DataFrame, key: str, p: str) -> DataFrame:
         b = [F.col(c).cast("double") for c in COLUMNS]
@@ -41,10 +51,41 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, lid: str = "id", ri
         out = out.select(F.col(key).alias(f"{p}id"), *(c.alias(f"{p}{n}") for c, n in zip(b, COLUMNS, strict=True)), span(b[0], b[2]).alias("cx"))
         return out.withColumn("cy", span(F.col(f"{p}min_y"), F.col(f"{p}max_y")))
 
-    a, b = dealt(left, lid, "l_"), dealt(right, rid, "r_")
-    met = a.join(b, ["cx", "cy"])
+    def cells(df: DataFrame, p: str, most: int) -> DataFrame:
+        """For each cell, what each of its blocks lies above; null for the first."""
+        each = df.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / most).alias("_n"), F.percentile_approx(order(p), [i / MARKS for i in range(1, MARKS)]).alias("_m"))
+        n = F.least("_n", F.lit(MARKS))
+        above = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("_m", (F.floor(i * MARKS / n) - 1).cast("int")))
+        return each.select("cx", "cy", above.alias(f"{p}above"))
+
+    a, b, keys = dealt(left, lid, "l_"), dealt(right, rid, "r_"), ["cx", "cy"]
+    n = F.array_size("l_above").cast("long") * F.array_size("r_above")
+    crowded = cells(a, "l_", blocks[0]).join(cells(b, "r_", blocks[1]), keys).filter(n > 1)
+    crowded = checkpointed(crowded.withColumn("_end", F.sum(n).over(Window.orderBy("cx", "cy"))).withColumn("_from", F.col("_end") - n))
+    if pairs := crowded.agg(F.max("_end")).first()[0]:
+        rest = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # for cells of one block
+        partitions = min(pairs + rest, MOST_PARTITIONS)
+
+        def cut(df: DataFrame, p: str, other: str, sort: str) -> DataFrame:
+            out = df.join(F.broadcast(crowded), keys, "left").withColumn("_o", order(p))
+            out = out.withColumn(f"{p}b", F.coalesce(F.array_size(F.filter(f"{p}above", lambda v: v < F.col("_o"))), F.lit(0)))
+            some = F.sequence(F.lit(0), F.coalesce(F.array_size(f"{other}above"), F.lit(1)) - 1)
+            if ordered:  # the left block's ids begin below the end of the right block's
+                begins, ends = (lambda i: F.get("l_above", i)), (lambda i: F.get("r_above", i + 1))
+                some = F.filter(some, lambda i: F.coalesce(begins(F.col("l_b")) < ends(i) if p == "l_" else begins(i) < ends(F.col("r_b")), F.lit(True)))
+            out = out.withColumn(f"{other}b", F.explode(some))
+            place = F.coalesce(F.col("_from") + F.col("l_b") * F.array_size("r_above") + F.col("r_b"), pairs + F.pmod(F.xxhash64(*keys), F.lit(rest)))
+            out = out.withColumn("part", F.pmod(place, F.lit(partitions)).cast("int")).select("part", *keys, "l_b", "r_b", *df.columns[:5])
+            size = [F.floor((F.col(f"{p}max_{c}") - F.col(f"{p}min_{c}")) / cell * 16) for c in "xy"]
+            out = out.repartitionById(partitions, F.col("part")).sortWithinPartitions("part", *keys, "l_b", "r_b", *size, f"{p}{sort}")
+            return out.withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0").drop("_row")  # else the optimizer drops an order below a join
+
+        a, b, keys = cut(a, "l_", "r_", "min_y"), cut(b, "r_", "l_", "min_x").hint("merge"), ["part", *keys, "l_b", "r_b"]
+    met = a.join(b, keys)
     common = Box.of(*(f"l_{c}" for c in COLUMNS)).overlap(Box.of(*(f"r_{c}" for c in COLUMNS)))
     own = (F.floor(common.x1 / cell) == F.col("cx")) & (F.floor(common.y1 / cell) == F.col("cy"))
+    if ordered:
+        own &= F.col("l_id") < F.col("r_id")
     return met.filter(common.valid() & own).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
